@@ -143,13 +143,13 @@ WITH docs AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,
                      CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS draw FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
 weighted AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sizes),
-staged AS (SELECT *, row_number() OVER w AS at,
+staged AS (SELECT *, row_number() OVER w AS place,
                   sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
                   sum(weight) OVER () - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weights
            FROM weighted WINDOW w AS (ORDER BY source_size * 3 / weight, weight, source NULLS LAST)),
-first_open AS (SELECT min(at) AS at FROM staged WHERE source_size * 3 * weights > weight * rest),
-share AS (SELECT rest, weights, at FROM staged WHERE at = (SELECT at FROM first_open)),
-targets AS (SELECT s.source, s.source_size, CASE WHEN h.at IS NULL OR s.at < h.at THEN CAST(s.source_size * 3 AS DOUBLE)
+first_open AS (SELECT min(place) AS place FROM staged WHERE source_size * 3 * weights > weight * rest),
+share AS (SELECT rest, weights, place FROM staged WHERE place = (SELECT place FROM first_open)),
+targets AS (SELECT s.source, s.source_size, CASE WHEN h.place IS NULL OR s.place < h.place THEN CAST(s.source_size * 3 AS DOUBLE)
                    ELSE CAST(s.weight AS DOUBLE) * CAST(h.rest AS DOUBLE) / CAST(h.weights AS DOUBLE) END AS target FROM staged s LEFT JOIN share h ON true),
 wholes AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
 runs AS (SELECT d.*, t.source_size, t.target, t.whole, t.target - t.whole * t.source_size AS part, d.draw % 4096 AS slot,
