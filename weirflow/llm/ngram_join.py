@@ -4,8 +4,9 @@ Every document is the set of its distinct five-word shingles (64-bit hashes; low
 Documents with equal sets are one class.  Two classes are linked if their Jaccard similarity is
 ``PERCENT`` percent or more.  The join works on classes:
 
-1. a sketch of shingle frequencies over all documents (a fixed number of counters) orders the
-   shingles rare first: by counter, then by hash, one total order for all documents;
+1. shingles below a hash limit (twice as many as a prefix needs) are counted over all
+   documents; levels of frequency, kept as bitmaps of a fixed size, order the shingles rare
+   first: one total order for all documents;
 2. two linked sets must share one of their first n - ceil(PERCENT n / 100) + 1 shingles: only
    these prefixes are dealt out, by shingle, and only shingles of several classes go on;
 3. within a shingle's classes, in order of size, the length and positional filters prune pairs;
@@ -26,6 +27,7 @@ whatever their ids; component_id is the least non-null id reachable, null if the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,63 +38,30 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from ._common import arrow_type, discard, stored
+from ._shingles import column_sets, mixed
 from .components import least_labels
 
-NGRAM = 5
 PERCENT = 80
-#: Counters of the frequency sketch: its size does not depend on the data.
-SKETCH_BITS = 20
-SKETCH_CHUNKS = 64
+#: Shingles with a hash below this are counted: two fifths of them, twice a prefix's share.
+COUNTED = np.uint64((1 << 64) // 5 * 2)
+#: A counted shingle's level of frequency: over how many documents.
+LEVELS = (4, 16, 64, 256)
+#: Bits of each level's bitmap: fixed, so more shingles pass for frequent as they grow.
+LEVEL_BITS = 24
 #: Ranges of hashes in a set's profile, for the suffix filter.
-PROFILE = 64
+PROFILE = 256
 #: Classes of one shingle that a task pairs with each other; longer lists are cut.
 BLOCK = 512
+#: Lists of more classes apply the suffix filter to their pairs at once.
+SHORT = 16
 #: Partners of one class that are verified together with one copy of its set.
 PARTNERS = 64
 #: Bits of the filter that spares texts which no pair needs: fixed, so more texts pass as they grow.
 BLOOM_BITS = 24
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-MIXER = np.uint64(0xBF58476D1CE4E5B9)
+#: Classes that a task remembers to have given out.
 MEMO = 400_000
 
 
-class _WordHash(dict):
-    """Word to its 64-bit hash; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * MIXER
-    return h ^ (h >> np.uint64(29))
-
-
-def shingle_set(text: str | None, memo: dict | None = None) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes, only A-Z change
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    memo = _WordHash() if memo is None else memo
-    h = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=n)
-    size = min(NGRAM, n)
-    total = h[: n - size + 1].copy()
-    for k in range(1, size):
-        total *= MULTIPLIER
-        total += _mixed(h[k : n - size + 1 + k])
-    total += np.uint64(size)
-    return np.unique(_mixed(total))
-
-
-def needed_overlap(a: int, b: int) -> int:
-    """Least common shingles of two sets of these sizes that are linked."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if not len(a) or not len(b) or min(len(a), len(b)) * 100 < PERCENT * max(len(a), len(b)):
         return False
@@ -107,60 +76,115 @@ def _texts(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[tuple]:
             yield from zip(*(part.column(i).to_pylist() for i in columns), strict=True)
 
 
-def frequency_sketch(docs: DataFrame) -> np.ndarray:
-    """Counters of shingle occurrences in all documents, by the top bits of the hash."""
-    ship(docs.sparkSession)
-    schema = T._parse_datatype_string("chunk int, counts binary")
-    size = 1 << SKETCH_BITS
-    step = size // SKETCH_CHUNKS
+@dataclass
+class Frequent:
+    """Which of the counted shingles are how frequent: a bitmap of hashed shingles for each of LEVELS.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total = _WordHash(), np.zeros(size, np.int64)
-        held: list[np.ndarray] = []
-        waiting = 0
-        for (text,) in _texts(batches, 0):
-            h = (shingle_set(text, memo) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-            held.append(h)
-            waiting += len(h)
-            if waiting > 1 << 20:
-                total += np.bincount(np.concatenate(held), minlength=size)
-                held, waiting = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=size)
-        if total.any():
-            yield _chunks(total)
+    Counted are the shingles with a hash below COUNTED; ``parts`` is how they were dealt out.
+    """
+
+    words: np.ndarray
+    parts: int
+
+    def level(self, counted: np.ndarray) -> np.ndarray:
+        at = _bit(_part(counted, self.parts), counted)
+        out = np.zeros(len(counted), np.int8)
+        for words in self.words:
+            found = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            out += found
+        return out
+
+    def prefix(self, s: np.ndarray) -> np.ndarray:
+        """The first shingles of a set, rare ones first, of which linked sets share one.
+
+        The order of all shingles: counted and rare; not counted; counted by level of frequency;
+        within each by hash.
+        """
+        take = len(s) + PERCENT * -len(s) // 100 + 1
+        split = int(np.searchsorted(s, COUNTED))
+        counted = s[:split]
+        level = self.level(counted)
+        rare = counted[level == 0]
+        if len(rare) >= take:
+            return rare[:take]
+        often = counted[level > 0]
+        return np.concatenate([rare, s[split:], often[np.argsort(level[level > 0], kind="stable")]])[:take]
 
-    def _chunks(total: np.ndarray) -> pa.RecordBatch:
-        # small counts take one or two bytes; the first byte says how many
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if total.max() <= np.iinfo(t).max)
-        parts = [bytes([np.dtype(kind).itemsize]) + total[i * step : (i + 1) * step].astype(kind).tobytes() for i in range(SKETCH_CHUNKS)]
-        return pa.RecordBatch.from_arrays([pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=arrow_type(schema))
 
-    def read(data: bytes) -> np.ndarray:
-        return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[data[0]], offset=1).astype(np.int64)
+def _part(s: np.ndarray, parts: int) -> np.ndarray:
+    return (s >> np.uint64(32)) * np.uint64(parts) // np.uint64((int(COUNTED) >> 32) + 1)
+
+
+def _bit(part: np.ndarray, s: np.ndarray) -> np.ndarray:
+    return mixed((part << np.uint64(32)) | (s & np.uint64(0xFFFFFFFF))) >> np.uint64(64 - LEVEL_BITS)
+
+
+def frequent_shingles(docs: DataFrame) -> Frequent:
+    """Count the shingles below COUNTED in all documents and mark the frequent ones.
+
+    Tasks count what they hold at a time; each part of the hashes is then added up in one task.
+    A counted shingle travels as 32 bits within its part.  What reaches the driver is bitmaps.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    schema = T._parse_datatype_string("part int, once binary, more binary, times binary")
+    bits = T._parse_datatype_string("level int, word int, bits long")
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, times = np.unique(np.concatenate(held), return_counts=True)
+        edges = np.searchsorted(_part(tokens, parts), np.arange(parts + 1, dtype=np.uint64))
+        low, rows = tokens.astype(np.uint32), []
+        for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if b > a:
+                many = times[a:b] > 1
+                rows.append((p, low[a:b][~many].tobytes(), low[a:b][many].tobytes(), times[a:b][many].astype(np.uint32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow_type(schema), strict=True)], schema=arrow_type(schema))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for batch in batches:
+            for s in column_sets(batch.column(0)):
+                held.append(s[: np.searchsorted(s, COUNTED)])
+                waiting += len(held[-1])
+                if waiting > 1 << 22:
+                    yield flush(held)
+                    held, waiting = [], 0
+        if waiting:
+            yield flush(held)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for chunk, data in _texts(batches, 0, 1):
-            total[chunk] = total.get(chunk, 0) + read(data)
-        if total:
-            parts = [bytes([8]) + x.tobytes() for x in total.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(parts, pa.binary())], schema=arrow_type(schema))
-
-    summed = docs.select("text").mapInArrow(count, schema).repartition(SKETCH_CHUNKS, "chunk").mapInArrow(add, schema)
-    out = np.zeros(size, np.int64)
-    for r in summed.collect():  # SKETCH_CHUNKS rows, 8 MB in all
-        out[r.chunk * step : (r.chunk + 1) * step] = read(bytes(r.counts))
-    return out
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for part, *data in _texts(batches, 0, 1, 2, 3):
+            once, more, times = (np.frombuffer(x, np.uint32) for x in data)
+            found.setdefault(part, []).append((np.r_[once, more], np.r_[np.ones(len(once), np.uint32), times]))
+        for part, chunks in found.items():
+            token = np.concatenate([t for t, _ in chunks])
+            order = np.argsort(token, kind="stable")
+            token, times = token[order], np.concatenate([n for _, n in chunks])[order]
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            total = np.add.reduceat(times.astype(np.int64), starts)
+            for level, least in enumerate(LEVELS):
+                often = token[starts[total > least]].astype(np.uint64)
+                if len(often):
+                    at = _bit(np.full(len(often), part, np.uint64), often)
+                    arrays = [pa.array(np.full(len(at), level, np.int32)), pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow_type(bits))
+
+    counted = docs.select("text").mapInArrow(count, schema).repartition(parts, "part").mapInArrow(add, bits)
+    got = counted.groupBy("level", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros((len(LEVELS), 1 << (LEVEL_BITS - 6)), np.uint64)  # 8 MB, whatever the input
+    words[got["level"].to_numpy(), got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return Frequent(words, parts)
 
 
 def _profile(s: np.ndarray) -> bytes:
-    """Set members in each of PROFILE ranges of hashes; counts above 65535 are held at that."""
-    counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PROFILE)
-    return np.minimum(counts, 65535).astype(np.uint16).tobytes()
+    """Set members in each of PROFILE ranges of hashes; counts above 255 are held at that."""
+    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PROFILE)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def document_sets(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+def document_sets(docs: DataFrame, frequent: Frequent) -> DataFrame:
     """For each row: doc_id, key (of the text), node (the class: a hash of the whole set),
     n_shingles, prefix (rare first) and profile.
 
@@ -169,9 +193,7 @@ def document_sets(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     """
     context = docs.sparkSession.sparkContext
     ship(docs.sparkSession)
-    # a rank for each counter instead of the counts: half the size
-    ranks = np.unique(sketch, return_inverse=True)[1].astype(np.uint32)
-    shared = context.broadcast(ranks)  # 4 << SKETCH_BITS bytes, whatever the input
+    shared = context.broadcast(frequent)  # len(LEVELS) bitmaps, whatever the input
     schema = T._parse_datatype_string("doc_id long, key long, node long, n_shingles long, prefix array<long>, profile binary")
     fields = arrow_type(schema)
 
@@ -185,33 +207,26 @@ def document_sets(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays(arrays, schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, memo, held, seen = shared.value, _WordHash(), [], set()
-        for doc_id, text, key in _texts(batches, 0, 1, 2):
-            s = shingle_set(text, memo)
-            n, node = len(s), _node(s)
-            if not n or node in seen:
-                held.append((doc_id, key, node, n, s[:0], None))
-            else:
-                seen.add(node)
-                held.append((doc_id, key, node, n, _prefix(s, rank), _profile(s)))
-            if len(seen) > MEMO:
-                seen.clear()
-            if len(held) >= 2048:
-                yield batch_of(held)
-                held = []
+        order, held, seen = shared.value, [], set()
+        for batch in batches:
+            for doc_id, key, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), column_sets(batch.column(1)), strict=True):
+                n, node = len(s), _node(s)
+                if not n or node in seen:
+                    held.append((doc_id, key, node, n, s[:0], None))
+                else:
+                    seen.add(node)
+                    held.append((doc_id, key, node, n, order.prefix(s), _profile(s)))
+                if len(held) >= 2048:
+                    yield batch_of(held)
+                    held = []
+                if len(seen) > MEMO:
+                    seen.clear()
         if held:
             yield batch_of(held)
 
     return _keyed(docs).mapInArrow(run, schema)
 
 
-def _prefix(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order of rank, then hash, of which linked sets share one."""
-    # s is in order of the hash, so a stable sort by rank is that order
-    order = np.argsort(rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-    return s[order[: len(s) + PERCENT * -len(s) // 100 + 1]]
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, key): the key, a hash of the text, finds it again."""
     return docs.select("doc_id", "text", text_key().alias("key"))
@@ -343,6 +358,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return edges
 
 
+def _near(n, m, apart: np.ndarray) -> np.ndarray:
+    """Suffix filter: sets of sizes n and m that differ in ``apart`` members at least."""
+    return n + m - apart >= 2 * (-(-PERCENT * (n + m) // (100 + PERCENT)))
+
+
 def _suffix_filter(pairs: DataFrame) -> DataFrame:
     """Drops pairs whose counts by ranges of hashes differ too much for the needed overlap."""
     schema = T._parse_datatype_string("a long, b long")
@@ -351,10 +371,9 @@ def _suffix_filter(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, PROFILE).astype(np.int32) for k in (4, 5))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int32) for k in (4, 5))
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            apart = np.abs(x - y).sum(axis=1)  # the sets differ in so many members at least
-            fits = (na + nb - apart) >= 2 * (-(-PERCENT * (na + nb) // (100 + PERCENT)))
+            fits = _near(na, nb, np.abs(x - y).sum(axis=1))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(fits)) for k in (0, 1)], schema=arrow_type(schema))
 
     return pairs.mapInArrow(run, schema)
@@ -372,16 +391,16 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = T._parse_datatype_string("key long, node long, members binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, words = _WordHash(), shared.value
+        words = shared.value
         for batch in batches:
             hit = np.ones(batch.num_rows, bool)
             for at in _bits(batch.column(0).to_numpy().view(np.uint64)):
                 hit &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
             part = batch.filter(pa.array(hit))
             for start in range(0, part.num_rows, 256):
-                keys, texts = (part.slice(start, 256).column(k).to_pylist() for k in (0, 1))
-                sets = [shingle_set(t, memo) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(map(_node, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=arrow_type(schema))
+                piece = part.slice(start, 256)
+                sets = list(column_sets(piece.column(1)))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(map(_node, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=arrow_type(schema))
 
     found = _keyed(docs).select("key", "text").mapInArrow(run, schema)
     return found.join(wanted.select("key", "node"), ["key", "node"]).select("node", "members").dropDuplicates(["node"])
@@ -389,7 +408,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _bits(keys: np.ndarray) -> list[np.ndarray]:
     """The two bits of each key in the Bloom filter."""
-    h = _mixed(keys)
+    h = mixed(keys)
     return [h >> np.uint64(64 - BLOOM_BITS), (h & np.uint64((1 << BLOOM_BITS) - 1))]
 
 
@@ -408,30 +427,37 @@ def _bloom(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-def _pairs_across(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _pairs_across(postings: DataFrame, labels: DataFrame | None, classes: DataFrame) -> DataFrame:
     """All pairs of classes in different components that share a prefix shingle and pass the filters.
 
     A list of over BLOCK classes is cut into blocks; every two blocks meet once, each in its task.
+    In lists of over SHORT the suffix filter is applied before pairs are given out.
     """
+    postings = postings.drop("partners")
     if labels is not None:
         labelled = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:
         labelled = postings.withColumn("label", F.col("node"))
     lists = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = labelled.join(lists.select("token", blocks.alias("blocks")), "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "node", "pos", "label")
+    rows = stored(labelled.join(lists.select("token", "size"), "token"), "lists")
+    short = rows.where(F.col("size") <= SHORT).withColumn("profile", F.lit(None).cast("binary"))
+    long = rows.where(F.col("size") > SHORT).join(classes.select("node", "profile"), "node")
+    rows = short.unionByName(long).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "node", "pos", "label", "profile")
     ordered = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
     schema = T._parse_datatype_string("a long, b long")
 
     def pairs(group: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        i, j, own, n, node, pos, label = (np.array(c) for c in zip(*group, strict=True))
+        i, j, own, n, node, pos, label = (np.array(c) for c in zip(*(g[:-1] for g in group), strict=True))
+        profiles = np.frombuffer(b"".join(g[-1] for g in group), np.uint8).reshape(-1, PROFILE).astype(np.int16) if group[0][-1] is not None else None
         for k in range(1, len(n)):
             low = np.searchsorted(n[:k], -(-PERCENT * n[k] // 100))
             # a pair of one block is made where both its sides are that block
             fits = (label[low:k] != label[k]) & ((own[low:k] != own[k]) | (i[k] == j[k])) & _passes(n[low:k], pos[low:k], np.full(k - low, n[k]), np.full(k - low, pos[k]))
             at = low + np.flatnonzero(fits)
+            if len(at) and profiles is not None:
+                at = at[_near(n[at], n[k], np.abs(profiles[at] - profiles[k]).sum(axis=1))]
             if len(at):
                 yield node[at], np.full(len(at), node[k])
 
@@ -446,7 +472,7 @@ def _pairs_across(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], schema=arrow_type(schema))
 
         held = 0
-        for row in _texts(batches, *range(8)):
+        for row in _texts(batches, *range(9)):
             if row[:3] != now:
                 for p in pairs(group) if len(group) > 1 else ():
                     seen.append(p)
@@ -469,18 +495,18 @@ def link_classes(docs: DataFrame, all_pairs: bool = False) -> tuple[DataFrame, D
     ``all_pairs``: every linked pair, verified once each.  Otherwise links that suffice for the
     components: pairs that earlier rounds have joined are not looked at.
     """
-    sets = stored(document_sets(docs, frequency_sketch(docs)), "classes")
+    sets = stored(document_sets(docs, frequent_shingles(docs)), "classes")
     classes = sets.where(F.size("prefix") > 0).select("node", "key", "n_shingles", "profile").dropDuplicates(["node"])
     classes = stored(classes, "info")
     postings = stored(shared_postings(sets), "postings")
     if all_pairs:
-        links = verified(_distinct_pairs(_pairs_across(postings, None)), classes, docs)
+        links = verified(_distinct_pairs(_pairs_across(postings, None, classes)), classes, docs)
         discard(postings, classes)
         return sets, links
     first = stored(_distinct_pairs(postings.select(F.col("node").alias("a"), F.explode("partners").alias("b"))), "first")
     near = verified(first, classes, docs)
     labels = least_labels(near)
-    rest = _distinct_pairs(_pairs_across(postings, labels)).join(first, ["a", "b"], "left_anti")
+    rest = _distinct_pairs(_pairs_across(postings, labels, classes)).join(first, ["a", "b"], "left_anti")
     more = verified(rest, classes, docs)
     links = stored(near.union(more), "links")
     discard(postings, classes, first, near, more)
