@@ -15,8 +15,8 @@ Documents with equal sets are one class.  Two classes are linked if their Jaccar
 5. linked classes are joined to components by propagating the least label.
 
 Copies and near copies must not cost the square of their number, and no link may be lost.  So
-pairs are taken in rounds: first each class with the head of its shingle's list and with its
-neighbour; then all pairs that still lie in different components.  A pair within a component
+pairs are taken in rounds: first each class with its neighbours in its shingles' lists; then all
+pairs that still lie in different components.  A pair within a component
 can't change it.  Long lists are cut into blocks of which every two meet in one task.
 
 Defined results: null or blank texts have an empty set and are linked with nothing; with fewer
@@ -52,6 +52,8 @@ LEVEL_BITS = 24
 PROFILE = 256
 #: Classes of one shingle that a task pairs with each other; longer lists are cut.
 BLOCK = 512
+#: Classes before it in a shingle's list that a class is paired with in the first round.
+NEAR = 6
 #: Lists of more classes apply the suffix filter to their pairs at once.
 SHORT = 16
 #: Partners of one class that are verified together with one copy of its set.
@@ -243,54 +245,46 @@ def _node(s: np.ndarray) -> int:
 def shared_postings(sets: DataFrame) -> DataFrame:
     """(token, node, n, pos, partners): prefix shingles of several classes.
 
-    In order of size within each shingle; ``partners`` are the first class of the list and the
-    one before, where the length and positional filters let them pass.
+    The classes of a shingle stand in an order by hash that differs from shingle to shingle;
+    ``partners`` are those of the NEAR before that the length and positional filters let pass.
+    So lists of up to NEAR + 1 classes give all their pairs, and longer ones a linear number.
     """
     schema = T._parse_datatype_string("token long, node long, n int, pos int, partners array<long>")
     fields = arrow_type(schema)
     exploded = sets.where(F.size("prefix") > 0).select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    ordered = exploded.select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token", "n", "node")
+    ordered = exploded.select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token", F.xxhash64("token", "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None  # the last row of the batch before, and whether it has been given out
-        head = None
+        held = [np.zeros(0, np.int64) for _ in range(5)]  # the last rows of the batch before; the fifth: given out
         for batch in batches:
-            token, node, n, pos = (batch.column(i).to_numpy() for i in range(4))
-            if tail is not None:  # put the last row in front, so that runs go on
-                token, node, n, pos = (np.r_[[t], a] for t, a in zip(tail[:4], (token, node, n, pos), strict=True))
-            if not len(token):
+            if not batch.num_rows:
                 continue
-            given = tail is not None and tail[4]
+            token, node, n, pos = (np.r_[h, batch.column(i).to_numpy()] for i, h in enumerate(held[:4]))
+            given = np.r_[held[4], np.zeros(batch.num_rows, np.int64)]
             fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # a class may come from several tasks
-            token, node, n, pos = token[fresh], node[fresh], n[fresh], pos[fresh]
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            first = np.repeat(starts, np.diff(np.r_[starts, len(token)]))
-            size = np.diff(np.r_[starts, len(token)])[np.searchsorted(starts, first)]
-            hn, hp, hv = n[first].copy(), pos[first].copy(), node[first].copy()
-            if given and head is not None:  # the run's head lies in an earlier batch
-                same = token == head[0]
-                hv[same], hn[same], hp[same] = head[1:]
-            keep = size > 1
-            index = np.arange(len(token))
-            before = np.maximum(index - 1, 0)
-            ok_head = (hv != node) & _passes(n, pos, hn, hp)
-            ok_prev = (index != first) & (node[before] != hv) & (node[before] != node) & _passes(n, pos, n[before], pos[before])
-            rows = keep.copy()
-            if given:
-                rows[0] = False
-            last = len(token) - 1
-            lone = not rows[last] and not (given and last == 0)  # given out later, if its run goes on
-            if lone:
-                rows[last] = False
-            picked = np.flatnonzero(rows)
-            if len(picked):
-                yield _postings(token, node, n, pos, hv, before, ok_head, ok_prev, picked, fields)
-            head = (token[last], hv[last], hn[last], hp[last])
-            tail = (token[last], node[last], n[last], pos[last], not lone)
+            token, node, n, pos, given = (x[fresh] for x in (token, node, n, pos, given))
+            same = token[1:] == token[:-1]
+            shared = np.r_[False, same] | np.r_[same, False]
+            rows = np.flatnonzero(shared & (given == 0))
+            if len(rows):
+                yield _postings(token, node, n, pos, rows, fields)
+                given[rows] = 1
+            held = [x[-NEAR - 1 :] for x in (token, node, n, pos, given)]
 
     return ordered.mapInArrow(run, schema)
 
 
+def _postings(token, node, n, pos, rows: np.ndarray, fields: pa.Schema) -> pa.RecordBatch:
+    before = rows[:, None] - np.arange(1, NEAR + 1)
+    real, before = before >= 0, np.maximum(before, 0)
+    ok = real & (token[before] == token[rows, None]) & (node[before] != node[rows, None])
+    ok &= _passes(n[before], pos[before], n[rows, None], pos[rows, None])
+    offsets = np.r_[0, np.cumsum(ok.sum(axis=1))].astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[before][ok])).cast(fields.field(4).type)
+    arrays = [pa.array(token[rows]), pa.array(node[rows]), pa.array(n[rows].astype(np.int32)), pa.array(pos[rows].astype(np.int32)), lists]
+    return pa.RecordBatch.from_arrays(arrays, schema=fields)
+
+
 def _passes(n: np.ndarray, pos: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Length and positional filter: what can be common from this shingle on suffices.
 
@@ -303,18 +297,6 @@ def _passes(n: np.ndarray, pos: np.ndarray, m: np.ndarray, other: np.ndarray) ->
     return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (bound >= needed)
 
 
-def _postings(token, node, n, pos, head, before, ok_head, ok_prev, picked, fields) -> pa.RecordBatch:
-    counts = ok_head[picked].astype(np.int32) + ok_prev[picked]
-    offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
-    values = np.zeros(offsets[-1], np.int64)
-    with_head, with_prev = ok_head[picked], ok_prev[picked]
-    values[offsets[:-1][with_head]] = head[picked][with_head]
-    values[(offsets[:-1] + with_head)[with_prev]] = node[before[picked]][with_prev]
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)).cast(fields.field(4).type)
-    arrays = [pa.array(token[picked]), pa.array(node[picked]), pa.array(n[picked].astype(np.int32)), pa.array(pos[picked].astype(np.int32)), lists]
-    return pa.RecordBatch.from_arrays(arrays, schema=fields)
-
-
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -431,14 +413,15 @@ def _pairs_across(postings: DataFrame, labels: DataFrame | None, classes: DataFr
     """All pairs of classes in different components that share a prefix shingle and pass the filters.
 
     A list of over BLOCK classes is cut into blocks; every two blocks meet once, each in its task.
-    In lists of over SHORT the suffix filter is applied before pairs are given out.
+    With ``labels``, lists whose pairs the first round has had are left out.  In lists of over
+    SHORT the suffix filter is applied before pairs are given out.
     """
     postings = postings.drop("partners")
     if labels is not None:
         labelled = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:
         labelled = postings.withColumn("label", F.col("node"))
-    lists = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    lists = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where(F.lit(labels is None) | (F.col("size") > NEAR + 1)).where("low < high")
     rows = stored(labelled.join(lists.select("token", "size"), "token"), "lists")
     short = rows.where(F.col("size") <= SHORT).withColumn("profile", F.lit(None).cast("binary"))
     long = rows.where(F.col("size") > SHORT).join(classes.select("node", "profile"), "node")
