@@ -1,4 +1,4 @@
-"""Makes this package importable on the executors, wherever the driver found it."""
+"""What executors need: this package, wherever the driver found it, and a shared folder."""
 
 from __future__ import annotations
 
@@ -11,6 +11,19 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only where the setting is missing (a plain local session, as in tests) a temporary folder
+    takes its place.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="weirflow-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Add the package to the context's Python files, once per application."""
     context = spark.sparkContext
