@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shipping import ship
+from ..shipping import shared_root, ship
 
 #: White space that parts words: space and \t \n \v \f \r.  ``bytes.split()`` uses the same set.
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,19 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 OUT_ROWS = 2048
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is missing (a plain local session, as in tests) a temporary folder
-    takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="weirflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage.
 
