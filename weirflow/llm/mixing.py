@@ -88,14 +88,15 @@ def mix(docs: DataFrame, key: str = "doc_id", seed: int = 7, max_epochs: int = M
     upto = F.sum("_slot_size").over(W.partitionBy("source").orderBy("_slot"))
     slots = slots.withColumn("_upto", upto).join(targets.select("_source", "_part"), same).where("_upto >= _part and _part > 0")
     border = slots.groupBy("_source").agg(F.min(F.struct("_slot", (F.col("_part") - F.col("_upto") + F.col("_slot_size")).alias("_want"))).alias("_border"))
-    border = border.select("_source", "_border._slot", "_border._want")
+    border = stored(border.select("_source", "_border._slot", "_border._want"), "border")
     # in that slot documents follow in the order of their draw; one is taken if at least half of it is wanted
     there = sized.join(border, same & (slot == F.col("_slot"))).where("size > 0")
     running = F.sum("size").over(W.partitionBy("_source").orderBy("_draw"))
     last = there.withColumn("_running", running).where(F.col("_running") - F.col("size") / 2 <= F.col("_want")).groupBy("_source").agg(F.max("_draw").alias("_last"))
     border = border.withColumnRenamed("_source", "_b").join(last.withColumnRenamed("_source", "_l"), F.col("_b").eqNullSafe(F.col("_l")), "left")
     plan = targets.join(border.select("_b", "_slot", "_last"), F.col("_source").eqNullSafe(F.col("_b")), "left")
-    plan = plan.select("_source", "source_size", "target", "_whole", "_slot", "_last")
+    # a table of its own: its size is then known when it is joined, and a skewed join can be split
+    plan = stored(plan.select("_source", "source_size", "target", "_whole", "_slot", "_last"), "plan")
     more = F.coalesce((slot < F.col("_slot")) | ((slot == F.col("_slot")) & (F.col("_draw") <= F.col("_last"))), F.lit(False)) & (F.col("size") > 0)
     placed = rows.join(plan, same, "left")
     return placed.select(*columns, "size", "source_size", "target", (F.col("_whole") + more.cast("long")).alias("times"))
