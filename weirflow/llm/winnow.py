@@ -98,34 +98,44 @@ def in_descending_ranges(docs: DataFrame, parts: int | None = None) -> DataFrame
     """(doc_id, text, part, lead): each document in its range of ids, and with ``lead`` the first
     documents of the next range once more at the end of each.
 
-    The limits of the ranges are approximate quantiles of the ids: ``parts`` numbers, like the
-    first ids of the ranges, reach the driver.
+    The limits of the ranges are approximate quantiles of the ids, several for each shuffle
+    partition so that these come out even.  ``parts`` limits and first ids reach the driver and
+    go to the tasks, where a range is found by binary search.
     """
     spark = docs.sparkSession
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ship(spark)
+    parts = parts or 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = docs.select("doc_id")
-    limits = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
-    limits = sorted(set(limits or []), reverse=True) if parts > 1 else []
-    # range 0 holds the largest ids; null ids are in the last range, after all others
-    row = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    if limits:
-        at = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x > F.col("doc_id")))
-        part = F.when(F.col("doc_id").isNull(), len(limits)).otherwise(at).cast("int")
-    else:
-        part = F.lit(0)
-    heads = {r.part: r.head for r in row.select("doc_id", part.alias("part")).groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
-    order = sorted(heads)
-    # where the first documents of a range are needed again: in the range before, or for the first range in the last
-    needed = {p: order[i - 1] for i, p in enumerate(order)}
-    own = F.struct(part.alias("part"), F.lit(0).alias("lead"))
-    copies = F.array(own)
-    if order:
-        first = F.create_map(*[F.lit(x).cast(t) for p in order for x, t in ((p, "int"), (heads[p], "long"))])
-        wanted = F.create_map(*[F.lit(x) for p in order for x in (p, needed[p])])
-        again = F.struct(wanted[part].alias("part"), F.lit(1).alias("lead"))
-        copies = F.when(first[part].eqNullSafe(F.col("doc_id")), F.array(own, again)).otherwise(copies)
-    placed = row.select("doc_id", "text", F.explode(copies).alias("at")).select("doc_id", "text", "at.part", "at.lead")
-    return placed.repartition(parts, "part").sortWithinPartitions("part", "lead", F.col("doc_id").desc_nulls_last(), "text")
+    found = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 10 * parts))).first()[0]
+    limits = np.unique(np.array(found or [], dtype=np.int64)) if parts > 1 else np.zeros(0, np.int64)
+
+    def ranges(values: pa.Array) -> np.ndarray:
+        """Range 0 holds the largest ids; null ids come after all others."""
+        at = len(limits) - np.searchsorted(limits, values.fill_null(0).to_numpy(zero_copy_only=False), side="left")
+        return np.where(values.is_null().to_numpy(zero_copy_only=False), len(limits) + 1, at).astype(np.int32)
+
+    @F.arrow_udf("int")
+    def range_of(values: pa.Array) -> pa.Array:
+        return pa.array(ranges(values))
+
+    firsts = {r.part: r.head for r in ids.groupBy(range_of("doc_id").alias("part")).agg(F.max("doc_id").alias("head")).collect()}
+    order = sorted(firsts)
+    # where a range's first documents are needed again: in the range before, those of the first in the last
+    again, head = np.full(len(limits) + 2, -1, np.int32), np.zeros(len(limits) + 2, np.int64)
+    for i, p in enumerate(order):
+        again[p], head[p] = order[i - 1], firsts[p] or 0
+
+    @F.arrow_udf("int")
+    def needed_in(values: pa.Array) -> pa.Array:
+        """The range in which a document is needed again, -1 for most."""
+        at = ranges(values)
+        first = values.is_null().to_numpy(zero_copy_only=False) | (values.fill_null(0).to_numpy(zero_copy_only=False) == head[at])
+        return pa.array(np.where(first, again[at], -1).astype(np.int32))
+
+    row = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), range_of("doc_id").alias("own"), needed_in("doc_id").alias("again"))
+    places = F.filter(F.array(F.struct(F.col("own").alias("part"), F.lit(0).alias("lead")), F.struct(F.col("again").alias("part"), F.lit(1).alias("lead"))), lambda x: x["part"] >= 0)
+    placed = row.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.part", "at.lead")
+    return placed.repartition("part").sortWithinPartitions("part", "lead", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
