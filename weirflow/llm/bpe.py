@@ -82,7 +82,7 @@ class Codec:
         tokens, pairs, shorter = self.tokens, self.pairs, self.shorter
         while True:
             end = at + len(tokens[token])
-            if end not in dead and (not out or pairs[out[-1] * SHIFT + token]):
+            if end not in dead and (pairs[out[-1] * SHIFT + token] if out else pairs.made(token)):
                 out.append(token)
                 at = end
                 if at == n:
@@ -150,15 +150,16 @@ class _Pairs(dict):
             else:
                 rest = {k: v for n in range(1, len(t)) for i in range(len(t) - n + 1) if (v := self.ranks.get(k := t[i : i + n])) is not None}
                 found = merge_by_rank(t, rest)
-                self.parts[token] = tuple(found) if len(found) == 2 and self._made(t) else (token,)
+                self.parts[token] = tuple(found) if len(found) == 2 and merge_by_rank(t, self.ranks) == [token] else (token,)
         return self.parts[token]
 
-    def _made(self, t: bytes) -> bool:
-        return merge_by_rank(t, self.ranks) == [self.ranks[t]]
+    def made(self, token: int) -> bool:
+        """Whether merges make this token at all."""
+        return self._split(token) != (token,)
 
     def _stay(self, a: int, b: int) -> bool:
         tokens, join = self.tokens, self.ranks.get
-        if self._split(a) == (a,) or self._split(b) == (b,):
+        if not self.made(a) or not self.made(b):
             return False
         limit = 1 << 60
         while True:

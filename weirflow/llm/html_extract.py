@@ -48,6 +48,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>",
     re.S,
 )
+CUT_OFF = re.compile(r"<[a-zA-Z/!?]")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -75,8 +76,9 @@ class Page:
         lower = None
         while at < end:
             m = TOKEN.search(source, at)
-            if not m:
-                self._text(source[at:], stack[-1])
+            if not m:  # a tag that the page's end cuts off is no text
+                rest = CUT_OFF.search(source, at)
+                self._text(source[at : rest.start()] if rest else source[at:], stack[-1])
                 break
             if m.start() > at:
                 self._text(source[at : m.start()], stack[-1])
