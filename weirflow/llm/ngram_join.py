@@ -248,7 +248,7 @@ def shared_postings(sets: DataFrame) -> DataFrame:
     The classes of a shingle stand in an order by hash that differs from shingle to shingle;
     ``partners`` are those of the NEAR before that the length and positional filters let pass.
     So lists of up to NEAR + 1 classes give all their pairs, and longer ones a linear number:
-    two for each further class, in a quarter of the shingles.
+    three for each further class, in half of the shingles.
     """
     schema = T._parse_datatype_string("token long, node long, n int, pos int, partners array<long>")
     fields = arrow_type(schema)
@@ -279,10 +279,10 @@ def _postings(token, node, n, pos, rows: np.ndarray, fields: pa.Schema) -> pa.Re
     before = rows[:, None] - np.arange(1, NEAR + 1)
     real, before = before >= 0, np.maximum(before, 0)
     ok = real & (token[before] == token[rows, None]) & (node[before] != node[rows, None])
-    # far down in a list: two neighbours, and those in a quarter of the shingles only; the last round sees to the rest
+    # far down in a list: three neighbours, and those in half of the shingles only; the last round sees to the rest
     far = (rows > NEAR) & (token[np.maximum(rows - NEAR - 1, 0)] == token[rows])
-    ok[:, 2:] &= ~far[:, None]
-    ok &= ~(far & (token[rows] & 3 != 0))[:, None]
+    ok[:, 3:] &= ~far[:, None]
+    ok &= ~(far & (token[rows] & 1 != 0))[:, None]
     ok &= _passes(n[before], pos[before], n[rows, None], pos[rows, None])
     offsets = np.r_[0, np.cumsum(ok.sum(axis=1))].astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[before][ok])).cast(fields.field(4).type)
