@@ -9,6 +9,10 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch that Spark hands to Python, where the session names no limit of its own: rows
+#: can be long texts, and both the JVM and the worker hold a whole batch.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -25,7 +29,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the context's Python files, once per application."""
+    """Add the package to the context's Python files, once per application, and bound the
+    session's batches."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
