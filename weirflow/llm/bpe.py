@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from ._common import map_rows
 
 #: Entries of a worker's memo of pieces and of pairs; either is emptied when full.
-MEMO = 400_000
+MEMO = 100_000
 #: Above any rank, to make one number of two.
 SHIFT = 1 << 32
 #: Longer pieces are not memoised.
