@@ -60,6 +60,8 @@ SHORT = 16
 PARTNERS = 64
 #: Bits of the filter that spares texts which no pair needs: fixed, so more texts pass as they grow.
 BLOOM_BITS = 24
+#: Shingles that a task holds before it counts them.
+HELD = 1 << 21
 #: Classes that a task remembers to have given out.
 MEMO = 400_000
 
@@ -149,7 +151,7 @@ def frequent_shingles(docs: DataFrame) -> Frequent:
             for s in column_sets(batch.column(0)):
                 held.append(s[: np.searchsorted(s, COUNTED)])
                 waiting += len(held[-1])
-                if waiting > 1 << 22:
+                if waiting > HELD:
                     yield flush(held)
                     held, waiting = [], 0
         if waiting:
