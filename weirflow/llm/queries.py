@@ -51,8 +51,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def _rule_rows() -> str:
+    """URL_RULES as rows of SQL."""
+    return ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {_rule_rows()} AS rules(host, path, verdict)")
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
@@ -100,9 +105,8 @@ SELECT doc_id, sentence_ids, CASE WHEN {listed} <> '' THEN {listed} WHEN sentenc
 
 
 def _url_sql() -> str:
-    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     return f"""
-WITH rules(rhost, rpath, rverdict) AS (VALUES {rules}),
+WITH rules(rhost, rpath, rverdict) AS (VALUES {_rule_rows()}),
 cut AS (SELECT row_number() OVER () AS row, page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT row, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),

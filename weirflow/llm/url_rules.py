@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Parts into which the keys of one host suffix are spread.
+#: Least number of parts into which the keys of one host suffix are spread.
 SALTS = 32
 LAST = "\U0010ffff"
 
@@ -59,11 +59,13 @@ def rule_events(rules: DataFrame) -> DataFrame:
     return starts.unionByName(ends)
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow", salts: int = SALTS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow", salts: int | None = None) -> DataFrame:
     """Every row of ``pages`` with host, path, rule (null if none fits) and verdict.
 
-    ``rules`` has the columns host, path and verdict ('allow' or 'block').
+    ``rules`` has the columns host, path and verdict ('allow' or 'block').  The keys of one host
+    suffix are spread over ``salts`` parts, by default as many as there are shuffle partitions.
     """
+    salts = salts or max(SALTS, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     host, path = host_and_path(F.col(url))
     read = pages.select(*keep, host.alias("host"), path.alias("path"))
     events = rule_events(rules)
