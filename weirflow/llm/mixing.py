@@ -12,8 +12,8 @@ summed by source and slot of the hash, the running sum over ``SLOTS`` slots find
 which the target is reached, and only the documents of that slot are sorted.
 
 Defined results: a null text has size 0, a null source is a source of its own and comes last; a
-source of size 0 has target 0 and its documents are not taken; equal rows are told apart only by
-a number that counts them up; an empty table gives an empty result.
+source of size 0 has target 0 and its documents are not taken; rows equal in id and text are
+taken equally often, together; an empty table gives an empty result.
 """
 
 from __future__ import annotations
