@@ -1,3 +1,4 @@
+import time
 from collections import Counter as Bag
 
 import pytest
@@ -6,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weirflow import types as t
-from weirflow.errors import SchemaError
+from weirflow.errors import RunTimeout, SchemaError
 from weirflow.functions import Accumulator, Counter, adder, compose
 from weirflow.operators import Accumulate, AddColumn, Collect, Custom, Filter, FlatMap, ForEach, Group, Map, Reduce, RemoveColumn, RenameColumn, Repartition, col, key_columns
 from weirflow.plans import Pipeline, RunOptions, chunks
@@ -117,8 +118,40 @@ def test_shuffle_errors_are_survived(spark):
             raise ValueError("large")
         left["col1"] = left["col1"] + right["col1"]
 
-    got = numbers(spark).to(Reduce(key, add)).dataframe(RunOptions(ignore_row_errors=True)).collect()
+    p = numbers(spark).to(Reduce(key, add))
+    got = p.dataframe(RunOptions(ignore_row_errors=True)).collect()
     assert len(got) == 1 and got[0].col1 <= 15
+    found = p.errors().collect()
+    assert len(found) == 2 and all("Keying failed on row" in r.error and "ValueError: small" in r.error for r in found)
+
+
+def test_error_shows_the_row_as_it_was(spark):
+    def change(row):
+        row["col1"] = row["col1"] + 100
+        raise ValueError("after the change")
+
+    assert "{col1: 0}" in numbers(spark, 1).to(Map(change)).errors().first().error
+
+
+def test_rows_of_each_stage_are_counted(spark):
+    p = numbers(spark, 30).to(Filter(F.col("col1") < 20), Reduce(F.col("col1") % 4, {"col1": F.sum("col1")}), Filter(F.col("col1") > 46))
+    assert p.to(Collect(4)).run(RunOptions(count_rows=True)).stats["rows"] == [4, 2]
+    assert p.to(Accumulate(Counter)).run(RunOptions(count_rows=True)).stats["rows"] == [4, 2]
+    assert p.run(RunOptions(count_rows=True)).stats["rows"] == [4, 2]
+    assert "rows" not in p.run().stats
+
+
+def test_run_stops_at_its_time_limit(spark):
+    def sleeps(row):
+        import time
+
+        time.sleep(30)
+
+    began = time.time()
+    with pytest.raises(RunTimeout):
+        numbers(spark, 1).to(Map(sleeps)).run(RunOptions(timeout=2))
+    assert time.time() - began < 20
+    assert numbers(spark).to(Accumulate(Counter)).run(RunOptions(timeout=60)).accumulated == 10
 
 
 def test_group_and_repartition(spark):

@@ -27,5 +27,9 @@ class ParseError(ValueError):
     """A line or cell can't be read as its column's type."""
 
 
+class RunTimeout(TimeoutError):
+    """A run was stopped at its time limit."""
+
+
 class StreamTimeout(TimeoutError):
     """A stream was stopped at its time limit."""

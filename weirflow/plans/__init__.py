@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import RowError, SchemaError
+from ..errors import RowError, RunTimeout, SchemaError
 from ..operators import Accumulate, AddColumn, Collect, Custom, Filter, FlatMap, ForEach, Group, Map, Operation, Reduce, RemoveColumn, RenameColumn, check, col
 from ..rows import ERROR, Row, apply_rows, arrow_fields, log, read_rows, to_batch
 from ..schema import Schema, schema_of
@@ -24,8 +27,17 @@ FOLD_KEYS = 100_000
 
 @dataclass
 class RunOptions:
+    """How a pipeline runs.
+
+    ``timeout``: seconds after which ``run`` cancels its jobs and raises RunTimeout.
+    ``count_rows``: ``run`` counts the rows that each stage gives out (``stats["rows"]``); filters
+    are then not pushed through the ends of stages.
+    """
+
     ignore_row_errors: bool = False
     partition_size: int = 128
+    timeout: float | None = None
+    count_rows: bool = False
 
 
 @dataclass
@@ -92,7 +104,7 @@ class Pipeline:
             out = out.union(f)
         return out
 
-    def _compile(self, options: RunOptions, source: DataFrame | None, errors: list[DataFrame] | None = None) -> tuple[DataFrame, Schema]:
+    def _compile(self, options: RunOptions, source: DataFrame | None, errors: list[DataFrame] | None = None, counts: list[Observation] | None = None) -> tuple[DataFrame, Schema]:
         df, schema = source if source is not None else self.source, (self.source_schema or self.schema).clone()
         for stage in self.stages():
             for op in stage:
@@ -101,20 +113,28 @@ class Pipeline:
                 if op.shuffles and not isinstance(op, Custom):
                     kept = schema.repack()
                     # the key may read columns that go at the end of this stage
-                    df = _shuffle(df, schema, kept, op, options)
+                    df = _shuffle(df, schema, kept, op, options, errors)
                     schema = kept
                 else:
                     df, schema = _narrow(df, schema, op, options, errors)
             if schema.removed:
                 df = df.drop(*(n for n in schema.removed))
                 schema = schema.repack()
+            if counts is not None:
+                counts.append(Observation())
+                df = df.observe(counts[-1], F.count(F.lit(1)).alias("rows"))
         return df, schema
 
     def run(self, options: RunOptions | None = None) -> Result:
         """Run the pipeline; what it returns depends on its last operation."""
         options = options or RunOptions()
+        with _deadline(self.source.sparkSession, options.timeout):
+            return self._run(options)
+
+    def _run(self, options: RunOptions) -> Result:
         began = time.time()
-        df, schema = self._compile(options, None)
+        counts: list[Observation] | None = [] if options.count_rows else None
+        df, schema = self._compile(options, None, counts=counts)
         last = self.operations[-1] if self.operations else None
         result = Result()
         if isinstance(last, Collect):
@@ -137,9 +157,38 @@ class Pipeline:
         else:
             df.write.format("noop").mode("overwrite").save()
         result.stats = {"seconds": time.time() - began, "stages": len(self.stages())}
+        if counts is not None:
+            result.stats["rows"] = [o.get["rows"] for o in counts]
         return result
 
 
+@contextmanager
+def _deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
+    """Cancels the jobs started within once ``seconds`` are over."""
+    if seconds is None:
+        yield
+        return
+    context, tag, late = spark.sparkContext, f"weirflow-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    timer.daemon = True
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        yield
+    except Exception as e:
+        if late.is_set():
+            raise RunTimeout(f"stopped after {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+
+
 def _blank(df: DataFrame, schema: Schema) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema.repack().struct())
 
@@ -207,14 +256,14 @@ def _narrow(df: DataFrame, schema: Schema, op: Operation, options: RunOptions, e
     raise SchemaError(f"unknown operation {op!r}")
 
 
-def _shuffle(df: DataFrame, schema: Schema, kept: Schema, op: Group | Reduce, options: RunOptions) -> DataFrame:
+def _shuffle(df: DataFrame, schema: Schema, kept: Schema, op: Group | Reduce, options: RunOptions, errors: list[DataFrame] | None) -> DataFrame:
     if isinstance(op, Reduce):
         if isinstance(op.merge, dict) and not _opaque(op.key):
             out = _reduce(df, kept, op)
         else:
-            out = _fold(df, schema, kept, op, options)
+            out = _fold(df, schema, kept, op, options, errors)
         return out
-    keyed = df if not _opaque(op.key) else _python_key(df, schema, op.key, options)
+    keyed = df if not _opaque(op.key) else _python_key(df, schema, op.key, options, errors)
     names, key = _key(op.key)
     keyed = keyed.withColumns(key)
     out = keyed.repartition(*map(col, names)).sortWithinPartitions(*map(col, names))
@@ -255,7 +304,7 @@ def _reduce(df: DataFrame, kept: Schema, op: Reduce) -> DataFrame:
     return out.select(*(col(n) if n in names and n not in op.merge else col(f"_agg_{n}").alias(n) for n in kept.columns))
 
 
-def _python_key(df: DataFrame, schema: Schema, key: Callable[[Row], bytes], options: RunOptions) -> DataFrame:
+def _python_key(df: DataFrame, schema: Schema, key: Callable[[Row], bytes], options: RunOptions, errors: list[DataFrame] | None) -> DataFrame:
     from ..types import VarBytes
 
     widened = schema.clone().create_column("_key", VarBytes)
@@ -264,16 +313,16 @@ def _python_key(df: DataFrame, schema: Schema, key: Callable[[Row], bytes], opti
         row.values["_key"] = bytes(key(row))
         yield row
 
-    return _split(apply_rows(df.withColumn("_key", F.lit(None).cast("binary")), widened, "Keying", each, options.ignore_row_errors), widened, None, options)
+    return _split(apply_rows(df.withColumn("_key", F.lit(None).cast("binary")), widened, "Keying", each, options.ignore_row_errors), widened, errors, options)
 
 
-def _fold(df: DataFrame, schema: Schema, kept: Schema, op: Reduce, options: RunOptions) -> DataFrame:
+def _fold(df: DataFrame, schema: Schema, kept: Schema, op: Reduce, options: RunOptions, errors: list[DataFrame] | None) -> DataFrame:
     """An opaque reduction: folded within each task, dealt by key, sorted and folded again."""
     from ..types import VarBytes
 
     ship(df.sparkSession)
     if _opaque(op.key):
-        keyed = _python_key(df, schema, op.key, options)
+        keyed = _python_key(df, schema, op.key, options, errors)
     else:
         names, key = _key(op.key)
         # a typed, null-safe rendering of the key's values

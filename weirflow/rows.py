@@ -143,10 +143,11 @@ def apply_rows(df: DataFrame, schema: Schema, phase: str, each: Callable[[Row, C
         for batch in batches:
             out: list[dict[str, Any]] = []
             for row in read_rows(batch, schema):
-                text = row.to_string()
+                before = dict(row.values)  # the function may change the row
                 try:
                     made = [r.values for r in each(row, lambda: Row(schema, dict.fromkeys(schema.columns)))]
                 except Exception as e:
+                    text = Row(schema, before).to_string()
                     if not ignore_errors:
                         raise RowError(phase, text, f"{type(e).__name__}: {e}") from e
                     made = [{ERROR: f"{phase} failed on row {text}: {type(e).__name__}: {e}"}]
