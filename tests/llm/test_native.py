@@ -102,3 +102,85 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages.limit(0), frame).count() == 0
     assert url_rules.judge_urls(pages, frame.limit(0)).where(F.col("rule").isNotNull() | (F.col("verdict") != "allow")).count() == 0
     assert "Python" not in plan_of(judged) and "Cartesian" not in plan_of(judged) and "NestedLoop" not in plan_of(judged)
+
+
+PUBLISHED_TEXTS = {
+    "Apache-2.0": """/*
+ * Copyright 2020 The Authors
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */""",
+    "MIT": """MIT License
+
+Copyright (c) 2020 The Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.""",
+    "BSD": """Copyright (c) 2020, The Authors
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.""",
+    "GPL-3.0": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+}
+
+
+def test_published_licence_texts(spark):
+    texts = [(name, wrap(text)) for name, text in PUBLISHED_TEXTS.items() for wrap in (str, lambda t: t.replace("\n", "\r\n"), lambda t: "x = 1\n" + "\n".join(f"# {line}" for line in t.split("\n")) + "\ny = 2")]
+    titles = [("GPL-3.0", "  GNU GENERAL PUBLIC LICENSE\n     Version 3, 29 June 2007\n\n Copyright"), ("Apache-2.0", "   Apache License\n  Version 2.0, January 2004\nhttp://www.apache.org/licenses/\n")]
+    cut = [("none", "Licensed under the\n\nMIT License."), ("none", "Licensed under. The MIT License."), ("MIT", "Licensed under\nthe MIT License")]
+    df = spark.createDataFrame([*texts, *titles, *cut], "name string, text string")
+    got = licenses.scan_licenses(df, keep=("name", "text")).collect()
+    assert [(r.name, r.license) for r in got if r.name != r.license] == [] and len(got) == 20
+    assert {r.sentence_ids for r in got if r.name == "BSD"} == {"AllRights,BSDUse,BSDSourceText,BSDBinaryText"}
+    assert all("ApacheLic,ApacheUse,ApacheCopy,ApacheSee" == r.sentence_ids for r in got if r.name == "Apache-2.0" and "compliance" in r.text)
+    assert all(any(k in s for k in licenses.KEYWORDS.split("|")) for s in [*licenses.SENTENCES, *licenses.PUBLISHED])

@@ -1,10 +1,17 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits, single
-spaces) and mapped to the identifier of a known licence sentence.  The identifiers of a
+A text is normalised (lower case, letters and digits, single spaces) with marks where a sentence
+may begin or end: full stops and blank lines, which no sentence goes over, and single line ends,
+colons and semicolons, which a sentence may hold inside, as wrapped licence texts do.  What
+stands between two marks and is a known licence sentence gives its identifier; of two that begin
+at one mark, the longer.  The identifiers of a
 document, in order, are then matched against the licence rules: sequences of identifiers, tried
 in their order; what a rule matched is used up, so a longer rule hides the shorter ones in it.
 
+``SENTENCES`` and ``RULES`` are the one-line forms, those of the query's SQL; ``PUBLISHED`` and
+``PUBLISHED_RULES`` are the licences' own wording.  SQL cuts at every line end and knows the
+former only, so the two agree on texts whose known sentences stand on one line each.
+
 Defined results: a null text has no sentences; a document without known sentences has the
 licence 'none', one whose sentences make up no rule 'unknown'; licences are listed in the order
 of the rules.  Whole texts are scanned; rows are independent, so nothing is shuffled.
@@ -54,20 +61,62 @@ RULES = (
     ("CC-BY-4.0", ("CCBY4",)),
     ("proprietary", ("AllRights",)),
 )
-#: Ends of sentences: a mark before white space, or a line's end.
-SENTENCE_END = r"[.;:!?][ \t]+|[.;:!?]?[ \t]*[\r\n]+"
-NOT_WORD = r"[^a-z0-9]+"
+# Normalised sentences as the licences' own texts and notices have them.
+_GPL_FREE = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+_GPL_LATER = "of the license or at your option any later version"
+PUBLISHED = {
+    "licensed under the apache license version 2 0 the license": "ApacheLic",
+    "apache license version 2 0 january 2004": "ApacheLic",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MITPerm",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "AsIs",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSDSourceText",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSDBinaryText",
+    "gnu general public license version 3 29 june 2007": "GPLv3",
+    "gnu general public license version 2 june 1991": "GPLv2",
+    f"{_GPL_FREE} as published by the free software foundation either version 3 {_GPL_LATER}": "GPLFree3",
+    f"{_GPL_FREE} as published by the free software foundation either version 2 {_GPL_LATER}": "GPLFree2",
+    f"{_GPL_FREE} version 3 as published by the free software foundation": "GPLFree3",
+    f"{_GPL_FREE} version 2 as published by the free software foundation": "GPLFree2",
+    f"{_GPL_FREE} as published by the free software foundation version 3": "GPLFree3",
+    f"{_GPL_FREE} as published by the free software foundation version 2": "GPLFree2",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPLHope",
+}
+#: Tried before the rules of the same licence; their identifiers come from ``PUBLISHED``.
+PUBLISHED_RULES = (
+    ("BSD", ("AllRights", "BSDUse", "BSDSourceText", "BSDBinaryText")),
+    ("BSD", ("BSDUse", "BSDSourceText", "BSDBinaryText")),
+    ("GPL-3.0", ("GPLFree3", "GPLHope")),
+    ("GPL-3.0", ("GPLFree3",)),
+    ("GPL-2.0", ("GPLFree2", "GPLHope")),
+    ("GPL-2.0", ("GPLFree2",)),
+)
+#: In the order of ``RULES``.
+ALL_RULES = tuple(r for k, rule in enumerate(RULES) for r in (*(p for p in PUBLISHED_RULES if p[0] == rule[0] and rule[0] not in [n for n, _ in RULES[:k]]), rule))
+#: Every known sentence holds one of these.
+KEYWORDS = "licen|permi|warrant|redistribut|copyright|rights"
+#: Steps of normalising in order: a full stop or blank line becomes ``|``, a colon, semicolon or
+#: line end ``/``, other characters a space, and neighbouring marks one (``|`` if any is).
+STEPS = (
+    (r"[.!?](?=[ \t\r\n])|\n[ \t\r]*+(?=\n)|\r[ \t]*+(?=\r)", "|"),
+    (r"[;:](?=[ \t])|[\r\n]", "/"),
+    (r"[^a-z0-9|/]+", " "),
+    (r" ?/[ /]*+", "/"),
+    (r"[ /]?\|[ /|]*+", "|"),
+)
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of a text's known sentences, in order."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    sentences = F.split(F.lower(text), SENTENCE_END)
-    # the shortest and longest known sentence bound what is worth normalising
-    least, most = min(map(len, SENTENCES)), 2 * max(map(len, SENTENCES))
-    likely = F.filter(sentences, lambda s: (F.length(s) >= least) & (F.length(s) <= most) & s.rlike("licen|permi|warrant|redistribut|copyright|rights"))
-    ids = F.transform(likely, lambda s: known[F.trim(F.regexp_replace(s, NOT_WORD, " "))])
-    return F.coalesce(F.filter(ids, lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    sentences = PUBLISHED | SENTENCES
+    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+    low = F.lower(text)
+    marked = F.concat(F.lit("\n\n"), F.translate(low, "|/", "--"), F.lit("\n\n"))
+    for pattern, mark in STEPS:
+        marked = F.regexp_replace(marked, pattern, mark)
+    either = "|".join(s.replace(" ", "[ /]") for s in sorted(sentences, key=len, reverse=True))
+    found = F.regexp_extract_all(marked, F.lit(f"(?<=[|/])(?:{either})(?=[|/])"), F.lit(0))
+    ids = F.transform(found, lambda s: known[F.translate(s, "/", " ")])
+    return F.when(low.rlike(KEYWORDS), ids).otherwise(F.array().cast("array<string>"))
 
 
 def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -78,7 +127,7 @@ def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
     # each identifier stands between two marks of its own, so neighbours can be used up one by one
     rest = F.when(F.size("_ids") > 0, joined).otherwise(F.lit(""))
     out = found.withColumn("_rest", rest)
-    for k, (name, ids) in enumerate(RULES):
+    for k, (name, ids) in enumerate(ALL_RULES):
         wanted = "".join(f";{i};" for i in ids)
         out = out.withColumn(f"_r{k}", F.col("_rest").contains(wanted)).withColumn("_rest", F.replace("_rest", F.lit(wanted), F.lit("#")))
         names.append(F.when(F.col(f"_r{k}"), F.lit(name)))
