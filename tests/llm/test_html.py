@@ -43,3 +43,22 @@ def test_frame(spark):
     assert got == sorted([(1, "u", TEXT, len(TEXT))] * 2 + [(2, None, "", 0), (None, "v", "t w o", 5), (3, "w", "", 0)], key=str)
     none = df.limit(0)
     assert learn_weights(none) == PLAIN and extract_main_text(none).count() == 0
+
+
+WORDS = "Many words of the text that the page is about stand here."
+
+
+@pytest.mark.parametrize("kept", ['<section id="related-work"><p>{}</p></section>', '<h2 id="search-algorithms">{}</h2>', '<h2 id="search">{}</h2>', '<div class="share-prices">{}</div>', '<p class="social-history">{}</p>', '<div class="no-comments with-menu">{}</div>', '<section id="adAgency">{}</section>', '<div class="notice_period">{}</div>'])
+def test_names_that_only_hold_a_boilerplate_word(kept):
+    part = kept.format("Kept part of the article.")
+    assert extract(f"<article><p>{WORDS}</p>{part}<p>{WORDS}</p></article>") == f"{WORDS}\nKept part of the article.\n{WORDS}"
+
+
+@pytest.mark.parametrize("dropped", ['<div class="related-posts">{}</div>', '<div id="shareButtons">{}</div>', '<div class="box cookie_notice">{}</div>', '<p class="ad">{}</p>', '<section id="comments">{}</section>', '<ul class="main-nav">{}</ul>'])
+def test_names_that_say_boilerplate(dropped):
+    assert extract(f"<article><p>{WORDS}</p>{dropped.format('Left out.')}<p>{WORDS}</p></article>") == f"{WORDS}\n{WORDS}"
+
+
+@pytest.mark.parametrize("wrapper", ['class="site has-sidebar"', 'class="with-nav"', 'id="no-footer"', 'class="has-header page"'])
+def test_wrapper_named_for_what_the_page_has(wrapper):
+    assert extract(f"<body><div {wrapper}><div><p>{WORDS}</p><p>{WORDS}</p></div><div class=sidebar>Menu</div></div></body>") == f"{WORDS}\n{WORDS}"

@@ -39,9 +39,26 @@ CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr"
 DROPPED = frozenset("nav footer aside form script style noscript iframe svg math template button select textarea head dialog menu object embed canvas video audio map title datalist xmp noembed noframes".split())
 CONTENT = frozenset(("article", "main"))
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar note status".split())
+#: Names that say boilerplate as a whole class or id, in lower case with hyphens.
 DROPPED_NAMES = re.compile(
-    r"(?:ad|ads|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sidebar|aside|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|comments?|disqus|replies|respond|share|sharing|social|related|recommended|recommendations|widget|toolbar|pagination|pager|login|search|hidden|skip|teaser|outbrain|taboola)"
+    r"ad|ads|adv|advert|adverts|advertisements?|advertising|advertorial|adsense|adbox|banner|sponsor|sponsors|sponsored|promo|promos|promoted|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sidebar|aside|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|comments?|disqus|replies|respond|share|sharing|social|related|recommended|recommendations|widget|toolbar|pagination|pager|login|search|hidden|skip|teaser|outbrain|taboola"
+    r"|(?:cookies?|gdpr|consent)-(?:notice|banner|bar|popup|modal|overlay|message|alert|consent|box)"
+    r"|(?:ad|ads|advert|adsense|advertisement|sponsor|sponsored|promo|google)-(?:ad|ads|banner|box|block|slot|unit|container|wrapper|text|links?|widget)|banner-(?:ad|ads)"
+    r"|(?:related|recommended|popular|recent)-(?:posts?|articles?|stories|links|news|content)"
+    r"|(?:share|sharing|social)-(?:share|sharing|buttons?|links?|icons?|bar|widget|menu)"
+    r"|(?:main|site|page|top|primary|secondary|global|footer|header|mobile|left|right)-(?:nav|navbar|navigation|menu|footer|sidebar)"
+    r"|(?:nav|navigation)-(?:bar|menu|links?|list)|menu-bar|side-bar|side-?nav|(?:post|posts|page)-(?:nav|navigation|pagination)"
+    r"|comments?-(?:list|form|section|area|thread|wrapper|body|text|content|meta)|disqus-thread"
+    r"|(?:newsletter|subscribe|subscription|signup|sign-up|login|search)-(?:form|box|bar|widget|signup)"
+    r"|(?:pop-up|skip-link|skip-links|skip-to-content|skip-nav|sr-only|screen-reader-text|visually-hidden)"
 )
+#: Parts of a name beside which it is not read as content.
+BOILERPLATE_PARTS = re.compile(
+    r"(?:ad|ads|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sidebar|aside|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|topbar|comments?|disqus|replies|respond|share|sharing|social|related|recommended|recommendations|widget|toolbar|pagination|pager|login|search|hidden|skip|teaser|outbrain|taboola)"
+)
+#: Elements that hold the article's own headings and paragraphs: an id on them is a slug.
+SLUGGED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+HEADERS = frozenset(("header", "site-header", "global-header"))
 CONTENT_NAMES = re.compile(r"(?:article|articlebody|content|post|entry|story|main|body)")
 
 TOKEN = re.compile(
@@ -149,9 +166,13 @@ class Page:
                     marked |= value.lower() in DROPPED_ROLES
                     content |= value.lower() in ("main", "article")
                 elif key in ("class", "id"):
-                    names = [x.lower() for x in re.split(r"[\s_\-:]+", CAMEL.sub("-", value)) if x]
-                    marked |= any(DROPPED_NAMES.fullmatch(x) for x in names) or "header" in names and not self._inside_content(parent)
-                    content |= any(CONTENT_NAMES.fullmatch(x) for x in names)
+                    for whole in value.split():
+                        whole = re.sub(r"[_\-:]+", "-", CAMEL.sub("-", whole).lower()).strip("-")
+                        parts = whole.split("-")
+                        if not (key == "id" and name in SLUGGED):
+                            marked |= bool(DROPPED_NAMES.fullmatch(whole)) or whole in HEADERS and not self._inside_content(parent)
+                        if parts[0] not in ("has", "with", "no"):
+                            content |= any(CONTENT_NAMES.fullmatch(x) for x in parts) and not any(BOILERPLATE_PARTS.fullmatch(x) for x in parts)
                 elif key == "itemprop":
                     content |= value.lower() == "articlebody"
             if name in ("html", "body", "article", "main"):
