@@ -184,3 +184,10 @@ def test_published_licence_texts(spark):
     assert {r.sentence_ids for r in got if r.name == "BSD"} == {"AllRights,BSDUse,BSDSourceText,BSDBinaryText"}
     assert all("ApacheLic,ApacheUse,ApacheCopy,ApacheSee" == r.sentence_ids for r in got if r.name == "Apache-2.0" and "compliance" in r.text)
     assert all(any(k in s for k in licenses.KEYWORDS.split("|")) for s in [*licenses.SENTENCES, *licenses.PUBLISHED])
+
+
+def test_padded_licence_sentences(spark):
+    pads = ["*" * 3000, " " * 3000, "# " * 2000]
+    texts = [f"/{p} Licensed under the{p}Apache License, Version 2.0 {p}/" for p in pads]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.sentence_ids, r.license) for r in got} == {("ApacheLic", "Apache-2.0")}
