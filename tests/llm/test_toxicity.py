@@ -55,3 +55,19 @@ def test_held_out_accuracy(spark):
     n = {(r.y, r.toxic): r["count"] for r in held}
     assert n[1, True] / (n[1, True] + n.get((1, False), 0)) > 0.95
     assert n.get((0, True), 0) / (n[0, False] + n.get((0, True), 0)) < 0.01
+
+
+def test_masked_words_are_scored(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        w = [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(5, 60))]
+        if toxic := i % 4 == 0:
+            w[rng.randrange(len(w))] = rng.choice(["sh#t", "f%ck!", "b#2"])
+        rows.append((i, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows if i < 300], "doc_id long, quality int, toxic int")
+    model = t.learn_toxicity(docs, labels)
+    got = {r.doc_id: r.toxic for r in t.score_toxicity(docs, model).collect()}
+    assert all(got[i] == bool(y) for i, _, y in rows)
+    assert t.levels({"b": 2, "b#2": 1}, 900) == {"b", "b#2", f"b{t.LEVEL}#2"}

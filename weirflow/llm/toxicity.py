@@ -40,6 +40,8 @@ MEMO = 200_000
 #: Levels of a feature's count in a document, and of its share in thousandths of the words.
 TIMES = (2, 3, 4, 6, 8)
 PER_MILLE = (5, 10, 20, 40)
+#: Between a word or beginning and its level: white space, which no word holds.
+LEVEL = " "
 EDGES = ".,;:!?\"'()[]{}*$%&#|<>-_"
 
 
@@ -55,8 +57,8 @@ def levels(counts: dict[str, int], words: int) -> set[str]:
     out = set(counts)
     for f, n in counts.items():
         if n >= 2:
-            out.update(f"{f}#{k}" for k in TIMES if n >= k)
-            out.update(f"{f}%{k}" for k in PER_MILLE if 1000 * n >= k * words)
+            out.update(f"{f}{LEVEL}#{k}" for k in TIMES if n >= k)
+            out.update(f"{f}{LEVEL}%{k}" for k in PER_MILLE if 1000 * n >= k * words)
     return out
 
 
@@ -86,7 +88,7 @@ class _Memo(dict):
 
     def __init__(self, model: Ordinal):
         super().__init__()
-        self.bases = {f.split("#")[0].split("%")[0] for f in model.weights}
+        self.bases = {f.split(LEVEL)[0] for f in model.weights}
 
     def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) >= MEMO:
@@ -161,7 +163,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_DOC
     picked = counts.where(F.col("toxic") >= LEAST_DOCS).select("f", odds.alias("odds"), "toxic").where("odds > 1")
     picked = picked.orderBy((F.col("odds") * F.col("toxic")).desc(), "f").limit(most).collect()
     index = {r.f: i for i, r in enumerate(picked)}
-    strong = {r.f for r in picked if r.odds > 3 and not set("#%") & set(r.f)}
+    strong = {r.f for r in picked if r.odds > 3 and LEVEL not in r.f}
 
     def encode():
         def rows(batch: dict[str, list]) -> Iterator[tuple]:
