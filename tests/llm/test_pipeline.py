@@ -57,3 +57,15 @@ def test_stages_on_awkward_rows(spark, awkward, empty, tmp_path):
             out.write.mode("overwrite").parquet(str(tmp_path / "out"))
             if stage is not corpus_pipeline.STAGES[-1][1]:
                 assert out.columns == columns
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_pipeline_gives_the_ids(spark, awkward):
+    c = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    got = corpus_pipeline.run(spark, DIR).collect()
+    assert got and all(r.ids == e.encode_ordinary(text[r.doc_id]) and len(r.ids) == r.n_tokens for r in got)
+    encoded = corpus_pipeline.encoding_stage(spark, awkward.where("n_chars is null or n_chars < 100"), DIR)
+    want = [e.encode_ordinary(r.text or "") for r in awkward.where("n_chars is null or n_chars < 100").collect()]
+    assert sorted(r.ids for r in encoded.collect()) == sorted(want)

@@ -50,11 +50,12 @@ def arrow_type(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], Iterator[tuple]]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], Iterator[tuple]]], schema: str, by_batch: bool = False) -> DataFrame:
     """``mapInArrow`` with Python values: ``make()`` runs once per task and returns a function
     from a batch (column name to list) to an iterator of output tuples.
 
-    At most OUT_ROWS output rows are held at a time.
+    At most OUT_ROWS output rows are held at a time; ``by_batch``, none beyond the end of an
+    input batch, whose bytes bound theirs.
     """
     ship(df.sparkSession)
     out = T._parse_datatype_string(schema)
@@ -71,6 +72,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], Itera
                     if len(held) >= OUT_ROWS:
                         yield as_batch(held, fields)
                         held = []
+            if by_batch and held:
+                yield as_batch(held, fields)
+                held = []
         if held:
             yield as_batch(held, fields)
 

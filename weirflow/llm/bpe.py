@@ -20,6 +20,7 @@ import struct
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -220,9 +221,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: str = "doc_
                 ids = struct.unpack(f"<{len(data) // 4}I", data)
                 decoded = coder.decode(ids)
                 out = *(batch[c][i] for c in columns), len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded).hexdigest()
-                yield (*out, list(ids)) if with_ids else out
+                yield (*out, np.frombuffer(data, "<i4")) if with_ids else out
 
         return rows
 
     schema = f"{keep}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return map_rows(docs.select(*dict.fromkeys([*columns, "text"])), make, schema)
+    return map_rows(docs.select(*dict.fromkeys([*columns, "text"])), make, schema, by_batch=with_ids)
