@@ -1,7 +1,9 @@
 import hashlib
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weirflow.llm import chat
 
@@ -38,3 +40,15 @@ def test_frames(spark):
     made = chat.format_conversations(df).collect()
     assert len(made) == 7 and sum(len(r.text) for r in made if r.conv_id == 1) == got[1].formatted_chars
     assert chat.digest_conversations(df.limit(0)).count() == 0
+
+
+def test_digest_reads_every_example(spark):
+    rows = [(c, i, "assistant" if i % 2 else "user", f"t{i}") for c in (1, 2) for i in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.format_conversations(df)
+    whole = sorted(map(tuple, chat.digest_conversations(df).collect()))
+    assert sorted(map(tuple, chat.digest_examples(made.coalesce(1).orderBy(F.desc("example")).coalesce(1)).collect())) == whole
+    damaged = made.withColumn("text", F.when((F.col("conv_id") == 2) & (F.col("example") == 1), F.replace("text", F.lit("t0"), F.lit("x0"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="example 1 does not begin"):
+        chat.digest_examples(damaged).collect()
+    assert "MapInArrow" in (plan := chat.digest_conversations(df)._jdf.queryExecution().executedPlan().toString()) and plan.count("MapInArrow") >= 2

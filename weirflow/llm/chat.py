@@ -21,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -128,39 +129,57 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 def read_back(examples: Iterable[Example]) -> tuple[int, str, int, str, int]:
     """(n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of one conversation's examples.
 
-    The last example holds all turns.
+    Each example's turns begin with those of the one before; the last example holds all turns.
     """
-    loss, loss_chars, chars, last = hashlib.sha256(), 0, 0, ""
-    for e in examples:
+    loss, loss_chars, chars, last = hashlib.sha256(), 0, 0, []
+    for i, e in enumerate(examples):
         trained = unescape(e.text[e.loss_start : e.loss_end])
         loss.update(trained.encode("utf-8", "surrogatepass"))
         loss_chars += len(trained)
         chars += len(e.text)
-        last = e.text
+        now = parse(e.text)
+        if now[: len(last)] != last:
+            raise ValueError(f"example {i} does not begin with the turns of the one before")
+        last = now
     turns = hashlib.sha256()
-    n = 0
-    for role, text in parse(last):
+    for role, text in last:
         turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        n += 1
-    return n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars
+    return len(last), turns.hexdigest(), loss_chars, loss.hexdigest(), chars
 
 
-def digest_conversations(conversations: DataFrame) -> DataFrame:
-    """What the formatted examples of every conversation hold, read back from them."""
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Example]]:
+    """Examples from batches (conv_id, text, loss_start, loss_end), one by one."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            conv, *rest = (batch.column(k)[i].as_py() for k in range(4))
+            yield conv, Example(*rest)
+
+
+def digest_examples(examples: DataFrame) -> DataFrame:
+    """What the rows of ``format_conversations`` hold, by conversation, read back from them.
+
+    A conversation's rows stand in one partition, as they are made.
+    """
     schema = T._parse_datatype_string("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     fields = arrow_type(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
-        for conv, turns in _conversations(batches):
-            held.append((conv, *read_back(expand(turns))))
+        for conv, group in groupby(_examples(batches), key=lambda x: x[0]):
+            held.append((conv, *read_back(e for _, e in group)))
             if len(held) >= 2048:
                 yield as_batch(held, fields)
                 held = []
         if held:
             yield as_batch(held, fields)
 
-    return _ordered(conversations).mapInArrow(run, schema)
+    ordered = examples.sortWithinPartitions("conv_id", "example")
+    return ordered.select("conv_id", "text", "loss_start", "loss_end").mapInArrow(run, schema)
+
+
+def digest_conversations(conversations: DataFrame) -> DataFrame:
+    """The digests of the formatted examples of every conversation."""
+    return digest_examples(format_conversations(conversations))
 
 
 def with_escape_case(conversations: DataFrame) -> DataFrame:
