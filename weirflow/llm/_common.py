@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,27 +24,63 @@ WORD = r"[^\x20\x09-\x0D]+"
 OUT_ROWS = 2048
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: The innermost open block's tables; ``written`` adds to it.
+_made: ContextVar[list[Table] | None] = ContextVar("made", default=None)
+
+
+@dataclass(eq=False)
+class Table:
+    """A table in the shared folder and the frame that reads it."""
+
+    frame: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        """Delete the files; no later plan may read them."""
+        place = self.frame.sparkSession._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(self.frame.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, label: str) -> Table:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage.
 
-    The files survive the loss of any executor.  ``discard`` removes them again.
+    The files survive the loss of any executor.  Within ``scratch`` they go at the block's end.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/weirflow-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._weirflow_path = path
+    out = Table(spark.read.schema(df.schema).parquet(path), path)
+    if (made := _made.get()) is not None:
+        made.append(out)
     return out
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by ``stored`` that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_weirflow_path", None)
-        if path:
-            spark = df.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame of ``written``."""
+    return written(df, label).frame
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """Delete the tables written within the block when it ends, however it ends.
+
+    The block gets a function that excepts the tables that its result still reads; they belong to
+    the block around it, if there is one.
+    """
+    outer, made, kept = _made.get(), [], []
+    token = _made.set(made)
+    try:
+        yield lambda *tables: kept.extend(tables)
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _made.reset(token)
+        for t in made:
+            if t not in kept:
+                t.drop()
+            elif outer is not None:
+                outer.append(t)
 
 
 def arrow_type(schema: T.StructType) -> pa.Schema:

@@ -81,16 +81,21 @@ def _cut(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _whole(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(data) <= 2 * SLICE:
         return word_hashes(data, breaks)
-    # a single word of megabytes: its hash by pieces of the same sum
+    # a word of megabytes between two breaks: the same sum as in word_hashes, by pieces
+    powers, _ = _power_tables(SLICE)
     edges = [0, *breaks[(breaks > 0)].tolist(), len(data)]
     h, s = [], []
     for a, b in zip(edges, edges[1:], strict=False):
         raw = data[a:b]
         kept = np.flatnonzero(~_SPACE[raw])
         if len(kept):
-            h.append(xxhash.xxh3_64_intdigest(bytes(raw[kept[0] : kept[-1] + 1]).lower()))
+            word, total = raw[kept[0] : kept[-1] + 1], 0
+            for at in range(0, len(word), SLICE):
+                piece = word[at : at + SLICE]
+                total += pow(_BASE, at, 1 << 64) * int((_BYTE[piece] * powers[: len(piece)]).sum(dtype=np.uint64))
+            h.append(total & 0xFFFFFFFFFFFFFFFF)
             s.append(a + int(kept[0]))
-    return np.array(h, dtype=np.uint64), np.array(s, dtype=np.int64)
+    return mixed(np.array(h, dtype=np.uint64)), np.array(s, dtype=np.int64)
 
 
 def _combine(h: np.ndarray, size: int) -> np.ndarray:

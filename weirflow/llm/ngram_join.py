@@ -4,9 +4,9 @@ Every document is the set of its distinct five-word shingles (64-bit hashes; low
 Documents with equal sets are one class.  Two classes are linked if their Jaccard similarity is
 ``PERCENT`` percent or more.  The join works on classes:
 
-1. shingles below a hash limit (twice as many as a prefix needs) are counted over all
-   documents; levels of frequency, kept as bitmaps of a fixed size, order the shingles rare
-   first: one total order for all documents;
+1. shingles below a hash limit (half as many again as a prefix needs) are dealt out by hash
+   and counted over all documents; those that one document has go no further, the others come
+   back with their frequency: the rarest first, in one order for all documents;
 2. two linked sets must share one of their first n - ceil(PERCENT n / 100) + 1 shingles: only
    these prefixes are dealt out, by shingle, and only shingles of several classes go on;
 3. within a shingle's classes, in order of size, the length and positional filters prune pairs;
@@ -27,28 +27,25 @@ whatever their ids; component_id is the least non-null id reachable, null if the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from ._common import arrow_type, discard, stored
+from ._common import Table, arrow_type, scratch, stored, written
 from ._shingles import column_sets, mixed
 from .components import least_labels
 
 PERCENT = 80
-#: Shingles with a hash below this are counted: two fifths of them, twice a prefix's share.
-COUNTED = np.uint64((1 << 64) // 5 * 2)
-#: A counted shingle's level of frequency: over how many documents.
-LEVELS = (4, 16, 64, 256)
-#: Bits of each level's bitmap: fixed, so more shingles pass for frequent as they grow.
-LEVEL_BITS = 24
-#: Ranges of hashes in a set's profile, for the suffix filter.
+#: Shingles with a hash below this are counted: three tenths of them; a prefix has two tenths.
+COUNTED = np.uint64((1 << 64) // 10 * 3)
+#: Ranges of hashes in a set's profile, for the suffix filter; two to a byte, counts modulo 16.
 PROFILE = 256
 #: Classes of one shingle that a task pairs with each other; longer lists are cut.
 BLOCK = 512
@@ -56,14 +53,19 @@ BLOCK = 512
 NEAR = 6
 #: Lists of more classes apply the suffix filter to their pairs at once.
 SHORT = 16
-#: Partners of one class that are verified together with one copy of its set.
+#: Partners of one class that are verified together with one copy of its text.
 PARTNERS = 64
-#: Bits of the filter that spares texts which no pair needs: fixed, so more texts pass as they grow.
-BLOOM_BITS = 24
-#: Shingles that a task holds before it counts them.
-HELD = 1 << 21
+#: Bits of the filter that spares texts which no pair needs: for each wanted text, and at most.
+#: Beyond that more texts go to the join that decides.
+BLOOM_SHARE, BLOOM_MOST = 16, 1 << 28
+#: Shingles and documents that a task gathers before it deals them out.
+HELD, HELD_DOCS = 1 << 20, 60_000
+#: Documents of those gathered that a shingle's entry names; a more common one's stay behind.
+COMMON = 64
 #: Classes that a task remembers to have given out.
 MEMO = 400_000
+#: Bytes of rows that a task puts into one batch.
+BATCH = 4 << 20
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -80,160 +82,226 @@ def _texts(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[tuple]:
             yield from zip(*(part.column(i).to_pylist() for i in columns), strict=True)
 
 
-@dataclass
-class Frequent:
-    """Which of the counted shingles are how frequent: a bitmap of hashed shingles for each of LEVELS.
+class _Rows:
+    """Gathers rows into batches of about BATCH bytes."""
 
-    Counted are the shingles with a hash below COUNTED; ``parts`` is how they were dealt out.
-    """
-
-    words: np.ndarray
-    parts: int
-
-    def level(self, counted: np.ndarray) -> np.ndarray:
-        at = _bit(_part(counted, self.parts), counted)
-        out = np.zeros(len(counted), np.int8)
-        for words in self.words:
-            found = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-            out += found
-        return out
-
-    def prefix(self, s: np.ndarray) -> np.ndarray:
-        """The first shingles of a set, rare ones first, of which linked sets share one.
-
-        The order of all shingles: counted and rare; not counted; counted by level of frequency;
-        within each by hash.
-        """
-        take = len(s) + PERCENT * -len(s) // 100 + 1
-        split = int(np.searchsorted(s, COUNTED))
-        counted = s[:split]
-        level = self.level(counted)
-        rare = counted[level == 0]
-        if len(rare) >= take:
-            return rare[:take]
-        often = counted[level > 0]
-        return np.concatenate([rare, s[split:], often[np.argsort(level[level > 0], kind="stable")]])[:take]
+    def __init__(self, fields: pa.Schema):
+        self.fields, self.held, self.size = fields, [], 0
 
+    def add(self, *row) -> Iterator[pa.RecordBatch]:
+        self.held.append(row)
+        self.size += 64 + sum(len(x) for x in row if isinstance(x, bytes))
+        if self.size > BATCH:
+            yield from self.rest()
 
-def _part(s: np.ndarray, parts: int) -> np.ndarray:
-    return (s >> np.uint64(32)) * np.uint64(parts) // np.uint64((int(COUNTED) >> 32) + 1)
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            columns = zip(*self.held, strict=True)
+            self.held, self.size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.fields, strict=True)], schema=self.fields)
 
 
-def _bit(part: np.ndarray, s: np.ndarray) -> np.ndarray:
-    return mixed((part << np.uint64(32)) | (s & np.uint64(0xFFFFFFFF))) >> np.uint64(64 - LEVEL_BITS)
+def prefix_length(n):
+    """Shingles of a set of ``n``, the rarest, of which linked sets share one."""
+    return n + PERCENT * -n // 100 + 1
 
 
-def frequent_shingles(docs: DataFrame) -> Frequent:
-    """Count the shingles below COUNTED in all documents and mark the frequent ones.
-
-    Tasks count what they hold at a time; each part of the hashes is then added up in one task.
-    A counted shingle travels as 32 bits within its part.  What reaches the driver is bitmaps.
+def _profile(s: np.ndarray) -> bytes:
+    """Set members in each of PROFILE ranges of hashes, modulo 16."""
+    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PROFILE).astype(np.uint8) & 15
+    return (counts[0::2] | (counts[1::2] << 4)).tobytes()
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Members in which sets with these profiles differ at least: differences modulo 16 are no
+    larger than the true ones."""
+    low, high = (x - y) & 15, ((x >> 4) - (y >> 4)) & 15
+    return (np.minimum(low, 16 - low) + np.minimum(high, 16 - high)).sum(axis=-1, dtype=np.int64)
+
+
+#: A document as it travels with those gathered together; counted: -1 where its class was given out before.
+DOC = np.dtype([("id", "<i8"), ("null", "?"), ("key", "<i8"), ("node", "<i8"), ("n", "<i8"), ("counted", "<i8")])
+#: Of those gathered together: a part of their shingles, by hash (32 bits within the part), in how
+#: many of them each is and in which.  Or, with ``docs``, the documents themselves and COMMON shingles.
+PACK = "part int, gathered long, token binary, docs_of binary, places binary, docs binary, profiles binary"
+COUNTED_PACK = f"{PACK}, frequency binary"
+SETS = "doc_id long, key long, node long, n_shingles long, profile binary, token long, pos int"
+
+
+class _Gatherer:
+    """The shingles of a task's documents, given out as rows of PACK."""
+
+    def __init__(self, parts: int, task: int, fields: pa.Schema):
+        self.parts, self.number, self.seen, self.rows = parts, task << 32, set(), _Rows(fields)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.docs, self.profiles, self.sent, self.at, self.size = [], [], [], [], 0
+
+    def add(self, doc_id: int | None, key: int, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, node, counted = len(s), _node(s), -1
+        if n and node not in self.seen:
+            if len(self.seen) > MEMO:
+                self.seen.clear()
+            self.seen.add(node)
+            counted = int(np.searchsorted(s, COUNTED))
+            # a set with too few counted shingles goes on with the next ones by hash
+            self.sent.append(s[: max(counted, prefix_length(n))])
+            self.at.append(len(self.docs))
+            self.profiles.append(_profile(s))
+            self.size += len(self.sent[-1])
+        self.docs.append((doc_id or 0, doc_id is None, key, node, n, counted))
+        if self.size > HELD or len(self.docs) >= HELD_DOCS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.docs:
+            return
+        s = np.concatenate([np.zeros(0, np.uint64), *self.sent])
+        place = np.repeat(np.array(self.at, np.uint16), [len(x) for x in self.sent])
+        high = s >> np.uint64(32)
+        part = np.where(s < COUNTED, high * np.uint64(self.parts) // np.uint64((int(COUNTED) >> 32) + 1), np.uint64(self.parts) + high % np.uint64(self.parts))
+        token = (part << np.uint64(32)) | (s & np.uint64(0xFFFFFFFF))
+        order = np.argsort(token, kind="stable")
+        token, place = token[order], place[order]
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
+        times = np.diff(np.r_[starts, len(token)]).astype(np.uint32)
+        token, common = token[starts], times > COMMON
+        named = np.repeat(~common, times)
+        upto = np.r_[0, np.cumsum(np.where(common, 0, times))]
+        places = place[named]
+        edges = np.searchsorted(token, np.arange(2 * self.parts + 1, dtype=np.uint64) << np.uint64(32))
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            a, b = edges[p], edges[p + 1]
+            yield from self.rows.add(p, self.number, token[a:b].astype(np.uint32).tobytes(), times[a:b].tobytes(), places[upto[a] : upto[b]].tobytes(), None, None)
+        docs = np.array(self.docs, DOC).tobytes()
+        yield from self.rows.add(xxhash.xxh32_intdigest(str(self.number)) % (2 * self.parts), self.number, token[common].tobytes(), times[common].tobytes(), place[~named].tobytes(), docs, b"".join(self.profiles))
+        yield from self.rows.rest()
+        self.number += 1
+        self._clear()
+
+
+def _counted(packs: list[tuple]) -> Iterator[tuple]:
+    """Of a part's packs, the shingles that are in several documents, with their frequency."""
+    token = [np.frombuffer(p[2], np.uint32) for p in packs]
+    times = [np.frombuffer(p[3], np.uint32) for p in packs]
+    every = np.concatenate(token)
+    order = np.argsort(every, kind="stable")
+    starts = np.flatnonzero(np.r_[True, every[order][1:] != every[order][:-1]])
+    total = np.add.reduceat(np.concatenate(times).astype(np.int64)[order], starts)
+    frequency = np.empty(len(every), np.int64)
+    frequency[order] = np.repeat(total, np.diff(np.r_[starts, len(every)]))
+    at = 0
+    for pack, t, n in zip(packs, token, times, strict=True):
+        f = frequency[at : at + len(t)]
+        at += len(t)
+        kept = f > 1
+        if kept.any():
+            places = np.frombuffer(pack[4], np.uint16)[np.repeat(kept, np.where(n > COMMON, 0, n))]
+            yield *pack[:2], t[kept].tobytes(), n[kept].tobytes(), places.tobytes(), None, None, np.minimum(f[kept], 0xFFFFFFFF).astype(np.uint32).tobytes()
+
+
+def _prefixes(packs: list[tuple], parts: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """(documents, (place, token, position)) of documents gathered together: their prefix shingles
+    that several documents have.
+
+    The order of a set's shingles: the counted ones by frequency, then token; then the others.
+    What one document alone has comes first and only shifts positions.
+    """
+    whole = next(p for p in packs if p[5] is not None)
+    docs = np.frombuffer(whole[5], DOC)
+    common, often = np.frombuffer(whole[2], np.uint64), np.frombuffer(whole[3], np.uint32).astype(np.int64)
+    upto, staying = np.r_[0, np.cumsum(often)], np.frombuffer(whole[4], np.uint16)
+    token, frequency, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
+    for part, _, t, n, places, gathered, _, f in packs:
+        if gathered is not None:
+            continue
+        t = np.frombuffer(t, np.uint32).astype(np.uint64) | (np.uint64(part) << np.uint64(32))
+        n, f = np.frombuffer(n, np.uint32).astype(np.int64), np.frombuffer(f, np.uint32).astype(np.int64)
+        named = n <= COMMON
+        token.append(np.repeat(t[named], n[named]))
+        frequency.append(np.repeat(f[named], n[named]))
+        place.append(np.frombuffer(places, np.uint16))
+        for i in np.flatnonzero(~named).tolist():
+            k = int(np.searchsorted(common, t[i]))
+            token.append(np.full(n[i], t[i]))
+            frequency.append(np.full(n[i], f[i]))
+            place.append(staying[upto[k] : upto[k + 1]])
+    token, frequency, place = np.concatenate(token), np.concatenate(frequency), np.concatenate(place).astype(np.int64)
+    rest = token >= np.uint64(parts << 32)
+    frequency[rest] = 1 << 40
+    order = np.lexsort((token, frequency, place))
+    token, place, rest = token[order], place[order], rest[order]
+    back = np.bincount(place[~rest], minlength=len(docs))  # counted ones that came back
+    first = np.searchsorted(place, np.arange(len(docs)))
+    pos = docs["counted"][place] - np.where(rest, 0, back[place]) + np.where(rest, 0, np.arange(len(place)) - first[place])
+    kept = pos < prefix_length(docs["n"][place])  # of those not counted only prefix ones were sent; their positions are lower bounds
+    return docs, (place[kept], token[kept], pos[kept])
+
+
+def document_sets(docs: DataFrame) -> DataFrame:
+    """For each row its doc_id, key (of the text), node (the class: a hash of the whole set),
+    n_shingles and, once in a task for each class, profile; and for each prefix shingle that
+    several documents have its token, node, n_shingles and pos, without a key.
+
+    A shingle travels as 32 bits within its part of the hashes.  Tasks gather documents, count
+    their shingles and deal these counts out; each part is added up in one task, and what
+    several documents have goes back to those gathered together.  A shingle of many documents
+    is one entry for each gathering task, so no shingle is too common for its part.
     """
     spark = docs.sparkSession
     ship(spark)
     parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    schema = T._parse_datatype_string("part int, once binary, more binary, times binary")
-    bits = T._parse_datatype_string("level int, word int, bits long")
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, times = np.unique(np.concatenate(held), return_counts=True)
-        edges = np.searchsorted(_part(tokens, parts), np.arange(parts + 1, dtype=np.uint64))
-        low, rows = tokens.astype(np.uint32), []
-        for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if b > a:
-                many = times[a:b] > 1
-                rows.append((p, low[a:b][~many].tobytes(), low[a:b][many].tobytes(), times[a:b][many].astype(np.uint32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow_type(schema), strict=True)], schema=arrow_type(schema))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting = [], 0
-        for batch in batches:
-            for s in column_sets(batch.column(0)):
-                held.append(s[: np.searchsorted(s, COUNTED)])
-                waiting += len(held[-1])
-                if waiting > HELD:
-                    yield flush(held)
-                    held, waiting = [], 0
-        if waiting:
-            yield flush(held)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for part, *data in _texts(batches, 0, 1, 2, 3):
-            once, more, times = (np.frombuffer(x, np.uint32) for x in data)
-            found.setdefault(part, []).append((np.r_[once, more], np.r_[np.ones(len(once), np.uint32), times]))
-        for part, chunks in found.items():
-            token = np.concatenate([t for t, _ in chunks])
-            order = np.argsort(token, kind="stable")
-            token, times = token[order], np.concatenate([n for _, n in chunks])[order]
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            total = np.add.reduceat(times.astype(np.int64), starts)
-            for level, least in enumerate(LEVELS):
-                often = token[starts[total > least]].astype(np.uint64)
-                if len(often):
-                    at = _bit(np.full(len(often), part, np.uint64), often)
-                    arrays = [pa.array(np.full(len(at), level, np.int32)), pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow_type(bits))
-
-    counted = docs.select("text").mapInArrow(count, schema).repartition(parts, "part").mapInArrow(add, bits)
-    got = counted.groupBy("level", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros((len(LEVELS), 1 << (LEVEL_BITS - 6)), np.uint64)  # 8 MB, whatever the input
-    words[got["level"].to_numpy(), got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return Frequent(words, parts)
-
-
-def _profile(s: np.ndarray) -> bytes:
-    """Set members in each of PROFILE ranges of hashes; counts above 255 are held at that."""
-    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PROFILE)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
-
-
-def document_sets(docs: DataFrame, frequent: Frequent) -> DataFrame:
-    """For each row: doc_id, key (of the text), node (the class: a hash of the whole set),
-    n_shingles, prefix (rare first) and profile.
-
-    A task gives the prefix and profile of a class once (as far as its bounded memory goes), so
-    copies are folded together before they are dealt out.
-    """
-    context = docs.sparkSession.sparkContext
-    ship(docs.sparkSession)
-    shared = context.broadcast(frequent)  # len(LEVELS) bitmaps, whatever the input
-    schema = T._parse_datatype_string("doc_id long, key long, node long, n_shingles long, prefix array<long>, profile binary")
-    fields = arrow_type(schema)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        ids, keys, nodes, sizes, prefixes, profiles = zip(*rows, strict=True)
-        offsets = np.zeros(len(rows) + 1, np.int32)
-        offsets[1:] = np.cumsum([len(p) for p in prefixes])
-        values = pa.array(np.concatenate(prefixes).view(np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(offsets), values)
-        arrays = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists.cast(fields.field(4).type), pa.array(profiles, pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, schema=fields)
+    pack, counted, out = map(T._parse_datatype_string, (PACK, COUNTED_PACK, SETS))
+    pack_fields, counted_fields, fields = map(arrow_type, (pack, counted, out))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, held, seen = shared.value, [], set()
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Gatherer(parts, TaskContext.get().partitionId(), pack_fields)
         for batch in batches:
             for doc_id, key, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), column_sets(batch.column(1)), strict=True):
-                n, node = len(s), _node(s)
-                if not n or node in seen:
-                    held.append((doc_id, key, node, n, s[:0], None))
-                else:
-                    seen.add(node)
-                    held.append((doc_id, key, node, n, order.prefix(s), _profile(s)))
-                if len(held) >= 2048:
-                    yield batch_of(held)
-                    held = []
-                if len(seen) > MEMO:
-                    seen.clear()
-        if held:
-            yield batch_of(held)
+                yield from found.add(doc_id, key, s)
+        yield from found.flush()
 
-    return _keyed(docs).mapInArrow(run, schema)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(counted_fields)
+        for _, group in groupby(_texts(batches, *range(7)), key=lambda r: r[0]):
+            packs = []
+            for row in group:
+                if row[5] is None:
+                    packs.append(row)
+                else:
+                    yield from rows.add(-1, *row[1:], None)
+            for row in _counted(packs) if packs else ():
+                yield from rows.add(*row)
+        yield from rows.rest()
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(_texts(batches, *range(8)), key=lambda r: r[1]):
+            packs = list(group)
+            found, (place, token, pos) = _prefixes(packs, parts)
+            given = found["counted"] >= 0
+            profiles = np.frombuffer(next(p[6] for p in packs if p[5] is not None), np.uint8).reshape(-1, PROFILE // 2)
+            spread = np.zeros(len(found), int)
+            spread[given] = np.arange(given.sum())
+            for a in range(0, len(found), 4096):
+                d, g, at = found[a : a + 4096], given[a : a + 4096], spread[a : a + 4096]
+                seen = [profiles[i].tobytes() if x else None for i, x in zip(at.tolist(), g.tolist(), strict=True)]
+                none = pa.nulls(len(d))
+                columns = [pa.array(d["id"].copy(), mask=d["null"].copy()), d["key"].copy(), d["node"].copy(), d["n"].copy(), seen, none, none]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+            for a in range(0, len(token), 1 << 17):
+                p, none = place[a : a + (1 << 17)], pa.nulls(len(place[a : a + (1 << 17)]))
+                columns = [none, none, found["node"][p], found["n"][p], none, token[a : a + (1 << 17)].view(np.int64), pos[a : a + (1 << 17)].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    packs = _keyed(docs).mapInArrow(gather, pack)
+    dealt = packs.repartition(parts, "part").sortWithinPartitions("part", "gathered").mapInArrow(count, counted)
+    return dealt.repartition("gathered").sortWithinPartitions("gathered").mapInArrow(order, out)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, key): the key, a hash of the text, finds it again."""
-    return docs.select("doc_id", "text", text_key().alias("key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
 
 
 def text_key() -> Column:
@@ -244,8 +312,8 @@ def _node(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)))))
 
 
-def shared_postings(sets: DataFrame) -> DataFrame:
-    """(token, node, n, pos, partners): prefix shingles of several classes.
+def shared_postings(found: DataFrame) -> DataFrame:
+    """(token, node, n, pos, partners): of the prefix shingles ``found`` those of several classes.
 
     The classes of a shingle stand in an order by hash that differs from shingle to shingle;
     ``partners`` are those of the NEAR before that the length and positional filters let pass.
@@ -254,8 +322,8 @@ def shared_postings(sets: DataFrame) -> DataFrame:
     """
     schema = T._parse_datatype_string("token long, node long, n int, pos int, partners array<long>")
     fields = arrow_type(schema)
-    exploded = sets.where(F.size("prefix") > 0).select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    ordered = exploded.select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token", F.xxhash64("token", "node"))
+    dealt = found.select("token", "node", F.col("n_shingles").cast("int").alias("n"), "pos").repartition("token")
+    ordered = dealt.sortWithinPartitions("token", F.xxhash64("token", "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64) for _ in range(5)]  # the last rows of the batch before; the fifth: given out
@@ -308,42 +376,46 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of distinct ``pairs`` (a, b), those whose whole sets are similar enough."""
-    left = classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("profile").alias("pa"))
-    right = classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("profile").alias("pb"))
-    likely = stored(_suffix_filter(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")), "pairs")
-    degree = stored(likely.select(F.col("a").alias("node")).union(likely.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degree")
-    sets = stored(_sets(docs, classes.select("key", "node").join(degree.select("node"), "node")), "sets")
-    # the class with more pairs is the hub; its partners are dealt in parts, each with one copy of the hub's set
-    da, db = (degree.select(F.col("node").alias(c), F.col("degree").alias(f"d{c}")) for c in "ab")
-    sized = likely.join(da, "a").join(db, "b")
-    swap = (F.col("db") > F.col("da")) | ((F.col("db") == F.col("da")) & (F.col("b") < F.col("a")))
-    sized = sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("da", "db").alias("d"))
-    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / PARTNERS))
-    salted = stored(sized.select("a", "b", part.alias("part")), "salted")
-    partners = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "members")
-    hubs = salted.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "members")
-    met = hubs.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    schema = T._parse_datatype_string("a long, b long")
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> Table:
+    """Of distinct ``pairs`` (a, b), those whose whole sets are similar enough.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, None
-        for batch in batches:
-            found = []
-            members = batch.column(3)
-            for i, (a, part, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
-                s = np.frombuffer(members[i].as_buffer(), np.uint64)
-                if b is None:
-                    hub, own = (a, part), s.copy()
-                elif hub == (a, part) and linked(own, s):
-                    found.append((a, b))
-            if found:
-                x, y = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=arrow_type(schema))
-
-    edges = stored(met.mapInArrow(run, schema), "edges")
-    discard(sets, salted, degree, likely)
+    The class with more pairs is the hub.  Its partners are dealt in parts, each with one copy of
+    the hub's text; the texts travel, as their sets are larger.
+    """
+    left = classes.select(F.col("node").alias("a"), F.col("key").alias("ka"), F.col("n_shingles").alias("na"), F.col("profile").alias("pa"))
+    right = classes.select(F.col("node").alias("b"), F.col("key").alias("kb"), F.col("n_shingles").alias("nb"), F.col("profile").alias("pb"))
+    schema = T._parse_datatype_string("a long, b long")
+    with scratch() as keep:
+        likely = stored(_suffix_filter(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb", "ka", "kb")), "pairs")
+        degree = likely.select(F.col("a").alias("node")).union(likely.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        da, db = (degree.select(F.col("node").alias(c), F.col("degree").alias(f"d{c}")) for c in "ab")
+        sized = likely.join(da, "a").join(db, "b")
+        swap = (F.col("db") > F.col("da")) | ((F.col("db") == F.col("da")) & (F.col("b") < F.col("a")))
+        hub, partner = F.struct("a", F.col("ka").alias("key")), F.struct(F.col("b").alias("a"), F.col("kb").alias("key"))
+        sized = sized.select(F.when(swap, partner).otherwise(hub).alias("hub"), F.when(swap, hub).otherwise(partner).alias("partner"), F.greatest("da", "db").alias("d"))
+        part = F.pmod(F.xxhash64("partner.a"), F.ceil(F.col("d") / PARTNERS))
+        dealt = stored(sized.select("hub", part.alias("part"), "partner"), "dealt")
+        partners = dealt.select(F.col("hub.a").alias("a"), "part", F.col("partner.a").alias("b"), F.col("partner.key").alias("key"))
+        hubs = dealt.select(F.col("hub.a").alias("a"), "part", F.lit(None).cast("long").alias("b"), F.col("hub.key").alias("key")).distinct()
+        places = hubs.unionByName(partners)
+        met = _texts_of(docs, dealt.select("hub.key").union(dealt.select("partner.key")).distinct()).join(places, "key").select("a", "part", "b", "text")
+        met = met.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hub, own = None, None
+            for batch in batches:
+                found = []
+                for a, part, b, s in zip(*(batch.column(k).to_pylist() for k in range(3)), column_sets(batch.column(3)), strict=True):
+                    if b is None:
+                        hub, own = (a, part), s
+                    elif hub == (a, part) and linked(own, s):
+                        found.append((a, b))
+                if found:
+                    x, y = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=arrow_type(schema))
+
+        edges = written(met.mapInArrow(run, schema), "edges")
+        keep(edges)
     return edges
 
 
@@ -354,64 +426,68 @@ def _near(n, m, apart: np.ndarray) -> np.ndarray:
 
 def _suffix_filter(pairs: DataFrame) -> DataFrame:
     """Drops pairs whose counts by ranges of hashes differ too much for the needed overlap."""
-    schema = T._parse_datatype_string("a long, b long")
+    schema = T._parse_datatype_string("a long, b long, ka long, kb long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int32) for k in (4, 5))
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            fits = _near(na, nb, np.abs(x - y).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(fits)) for k in (0, 1)], schema=arrow_type(schema))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, PROFILE // 2) for k in (4, 5))
+            fits = pa.array(_near(batch.column(2).to_numpy(), batch.column(3).to_numpy(), _apart(x, y)))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(fits) for k in (0, 1, 6, 7)], schema=arrow_type(schema))
 
     return pairs.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, members): the whole sets of the wanted (key, node).
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, text) of the ``wanted`` keys, each once, and a few others.
 
-    A Bloom filter of the wanted keys, of a fixed size, spares most other texts; the join with
-    the keys themselves decides.
+    A Bloom filter, sized by their number, spares most other texts the way to the join with the
+    keys themselves, which decides; a task gives a text once as far as its memory goes.
     """
     context = docs.sparkSession.sparkContext
     wanted = stored(wanted, "wanted")
-    shared = context.broadcast(_bloom(wanted))  # 1 << BLOOM_BITS bits, whatever the input
-    schema = T._parse_datatype_string("key long, node long, members binary")
+    bits = max(16, min(BLOOM_MOST, BLOOM_SHARE * wanted.count()).bit_length())
+    shared = context.broadcast(_bloom(wanted, bits))  # BLOOM_MOST bits at most
+    schema = T._parse_datatype_string("key long, text string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        words, seen = shared.value, set()
         for batch in batches:
             hit = np.ones(batch.num_rows, bool)
-            for at in _bits(batch.column(0).to_numpy().view(np.uint64)):
+            for at in _bits(batch.column(0).to_numpy().view(np.uint64), bits):
                 hit &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-            part = batch.filter(pa.array(hit))
-            for start in range(0, part.num_rows, 256):
-                piece = part.slice(start, 256)
-                sets = list(column_sets(piece.column(1)))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(map(_node, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=arrow_type(schema))
-
-    found = _keyed(docs).select("key", "text").mapInArrow(run, schema)
-    return found.join(wanted.select("key", "node"), ["key", "node"]).select("node", "members").dropDuplicates(["node"])
-
-
-def _bits(keys: np.ndarray) -> list[np.ndarray]:
-    """The two bits of each key in the Bloom filter."""
+            rows = np.flatnonzero(hit)
+            fresh = []
+            for i, key in zip(rows.tolist(), batch.column(0).take(pa.array(rows)).to_pylist(), strict=True):
+                if key not in seen:
+                    if len(seen) > MEMO:
+                        seen.clear()
+                    seen.add(key)
+                    fresh.append(i)
+            yield batch.take(pa.array(fresh, pa.int64()))
+
+    found = _keyed(docs).where("text is not null").select("key", "text").mapInArrow(run, schema)
+    return found.groupBy("key").agg(F.first("text").alias("text"))
+
+
+def _bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The two bits of each key in a Bloom filter of 2**bits."""
     h = mixed(keys)
-    return [h >> np.uint64(64 - BLOOM_BITS), (h & np.uint64((1 << BLOOM_BITS) - 1))]
+    return [h >> np.uint64(64 - bits), h & np.uint64((1 << bits) - 1)]
 
 
-def _bloom(wanted: DataFrame) -> np.ndarray:
+def _bloom(wanted: DataFrame, bits: int) -> np.ndarray:
     schema = T._parse_datatype_string("word long, bits long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.concatenate(_bits(batch.column(0).to_numpy().view(np.uint64)))
-            bits = np.uint64(1) << (at & np.uint64(63))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array(bits.view(np.int64))], schema=arrow_type(schema))
+            at = np.concatenate(_bits(batch.column(0).to_numpy().view(np.uint64), bits))
+            mark = np.uint64(1) << (at & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array(mark.view(np.int64))], schema=arrow_type(schema))
 
     words = wanted.select("key").mapInArrow(run, schema).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
@@ -429,7 +505,7 @@ def _pairs_across(postings: DataFrame, labels: DataFrame | None, classes: DataFr
     else:
         labelled = postings.withColumn("label", F.col("node"))
     lists = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where(F.lit(labels is None) | (F.col("size") > NEAR + 1)).where("low < high")
-    rows = stored(labelled.join(lists.select("token", "size"), "token"), "lists")
+    rows = stored(labelled.join(lists.select("token", "size"), "token"), "lists")  # the caller's block drops it
     short = rows.where(F.col("size") <= SHORT).withColumn("profile", F.lit(None).cast("binary"))
     long = rows.where(F.col("size") > SHORT).join(classes.select("node", "profile"), "node")
     rows = short.unionByName(long).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -440,14 +516,14 @@ def _pairs_across(postings: DataFrame, labels: DataFrame | None, classes: DataFr
 
     def pairs(group: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i, j, own, n, node, pos, label = (np.array(c) for c in zip(*(g[:-1] for g in group), strict=True))
-        profiles = np.frombuffer(b"".join(g[-1] for g in group), np.uint8).reshape(-1, PROFILE).astype(np.int16) if group[0][-1] is not None else None
+        profiles = np.frombuffer(b"".join(g[-1] for g in group), np.uint8).reshape(-1, PROFILE // 2) if group[0][-1] is not None else None
         for k in range(1, len(n)):
             low = np.searchsorted(n[:k], -(-PERCENT * n[k] // 100))
             # a pair of one block is made where both its sides are that block
             fits = (label[low:k] != label[k]) & ((own[low:k] != own[k]) | (i[k] == j[k])) & _passes(n[low:k], pos[low:k], np.full(k - low, n[k]), np.full(k - low, pos[k]))
             at = low + np.flatnonzero(fits)
             if len(at) and profiles is not None:
-                at = at[_near(n[at], n[k], np.abs(profiles[at] - profiles[k]).sum(axis=1))]
+                at = at[_near(n[at], n[k], _apart(profiles[at], profiles[k]))]
             if len(at):
                 yield node[at], np.full(len(at), node[k])
 
@@ -479,35 +555,42 @@ def _pairs_across(postings: DataFrame, labels: DataFrame | None, classes: DataFr
     return ordered.mapInArrow(run, schema)
 
 
-def link_classes(docs: DataFrame, all_pairs: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(document sets, links): the table of ``document_sets`` and the linked pairs of classes (a, b).
+def link_classes(docs: DataFrame, all_pairs: bool = False) -> tuple[Table, Table]:
+    """(document sets, links): the rows of ``document_sets`` and the linked pairs of classes (a, b).
 
     ``all_pairs``: every linked pair, verified once each.  Otherwise links that suffice for the
     components: pairs that earlier rounds have joined are not looked at.
     """
-    sets = stored(document_sets(docs, frequent_shingles(docs)), "classes")
-    classes = sets.where(F.size("prefix") > 0).select("node", "key", "n_shingles", "profile").dropDuplicates(["node"])
-    classes = stored(classes, "info")
-    postings = stored(shared_postings(sets), "postings")
-    if all_pairs:
-        links = verified(_distinct_pairs(_pairs_across(postings, None, classes)), classes, docs)
-        discard(postings, classes)
-        return sets, links
-    first = stored(_distinct_pairs(postings.select(F.col("node").alias("a"), F.explode("partners").alias("b"))), "first")
-    near = verified(first, classes, docs)
-    labels = least_labels(near)
-    rest = _distinct_pairs(_pairs_across(postings, labels, classes)).join(first, ["a", "b"], "left_anti")
-    more = verified(rest, classes, docs)
-    links = stored(near.union(more), "links")
-    discard(postings, classes, first, near, more)
+    with scratch() as keep:
+        found = written(document_sets(docs), "sets")
+        sets = written(found.frame.where("key is not null").select("doc_id", "key", "node", "n_shingles"), "documents")
+        classes = found.frame.where("profile is not null").select("node", "key", "n_shingles", "profile").dropDuplicates(["node"])
+        classes = stored(classes, "classes")
+        postings = written(shared_postings(found.frame.where("token is not null")), "postings")
+        found.drop()
+        if all_pairs:
+            links = verified(_distinct_pairs(_pairs_across(postings.frame, None, classes)), classes, docs)
+        else:
+            first = stored(_distinct_pairs(postings.frame.select(F.col("node").alias("a"), F.explode("partners").alias("b"))), "first")
+            near = verified(first, classes, docs)
+            labels = least_labels(near.frame)
+            rest = _distinct_pairs(_pairs_across(postings.frame, labels.frame, classes)).join(first, ["a", "b"], "left_anti")
+            links = written(near.frame.union(verified(rest, classes, docs).frame), "links")
+        keep(sets, links)
     return sets, links
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The document sets and, for each class with shingles, (node, label of its component)."""
-    sets, links = link_classes(docs)
-    nodes = sets.where("n_shingles > 0").select("node").distinct()
-    return sets, nodes.join(least_labels(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    """The document sets and, for each class with shingles, (node, label of its component).
+
+    Their two tables are read by the result and stay for it.
+    """
+    with scratch() as keep:
+        sets, links = link_classes(docs)
+        labels = least_labels(links.frame)
+        keep(sets, labels)
+    nodes = sets.frame.where("n_shingles > 0").select("node").distinct()
+    return sets.frame, nodes.join(labels.frame, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def join_components(docs: DataFrame) -> DataFrame:
