@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: A local session's own folder, by application.
+_own_folders: dict[str, str] = {}
 #: Bytes of a batch that Spark hands to Python, where the session names no limit of its own: rows
 #: can be long texts, and both the JVM and the worker hold a whole batch.
 BATCH_BYTES = 8 << 20
@@ -18,13 +21,17 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (a plain local session, as in tests) a temporary folder
-    takes its place.
+    Where the setting is missing, a session on this machine alone gets a temporary folder; on a
+    cluster there is no folder to fall back on.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="weirflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: intermediate tables are written there")
+        own = spark.sparkContext.applicationId
+        if own not in _own_folders:
+            _own_folders[own] = tempfile.mkdtemp(prefix="weirflow-")
+        root = _own_folders[own]
     return root.rstrip("/")
 
 
