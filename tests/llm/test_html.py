@@ -1,6 +1,11 @@
+import random
+import time
+from collections import Counter
+
 import pytest
 
-from weirflow.llm.html_extract import PLAIN, extract, extract_main_text, learn_weights
+from weirflow.llm import html_extract
+from weirflow.llm.html_extract import PLAIN, extract, extract_main_text, label_counts, learn_weights, region, weights_from
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <nav><ul><li><a href="/a">Home</a></li><li><a>About</a></li></ul></nav><div class="cookie-notice">We use cookies.</div><!-- <p>hidden</p> -->
@@ -62,3 +67,61 @@ def test_names_that_say_boilerplate(dropped):
 @pytest.mark.parametrize("wrapper", ['class="site has-sidebar"', 'class="with-nav"', 'id="no-footer"', 'class="has-header page"'])
 def test_wrapper_named_for_what_the_page_has(wrapper):
     assert extract(f"<body><div {wrapper}><div><p>{WORDS}</p><p>{WORDS}</p></div><div class=sidebar>Menu</div></div></body>") == f"{WORDS}\n{WORDS}"
+
+
+MARKED = """<html><body><nav><ul><li><a href="/">Home page</a></li><li><a href="/b">Other page</a></li></ul></nav>
+<div class="ad">Buy more things now.</div><article><h1>A title of words</h1><p>{}</p><p>{}</p></article><footer>Some owner of the page and its words.</footer></body></html>"""
+UNMARKED = """<html><body><div><ul><li><a href="/">Home page</a></li><li><a href="/b">Other page</a></li></ul></div>
+<div>Buy more things now.</div><div><h1>A title of words</h1><p>{0}</p><p>{0}</p></div><div>Some owner of the page and its words.</div></body></html>"""
+
+
+def learned():
+    counts = Counter()
+    for n in range(20):
+        counts.update(label_counts(MARKED.format(WORDS, " ".join([WORDS] * (n % 3 + 1)))))
+    return weights_from(counts)
+
+
+def test_the_scan_finds_what_nothing_marks(monkeypatch):
+    """Without a single mark the region alone parts the article from the rest; without the scan, all words stay."""
+    text = f"A title of words\n{WORDS}\n{WORDS}"
+    assert extract(UNMARKED.format(WORDS), learned()) == text
+    monkeypatch.setattr(html_extract, "region", lambda score: (0, len(score) - 1))
+    assert extract(UNMARKED.format(WORDS), learned()) != text
+
+
+def test_the_scan_decides_among_elements_that_say_article():
+    """A teaser in an article element of its own does not win over the text."""
+    page = UNMARKED.format(" ".join([WORDS] * 5)).replace("<div>Buy more things now.</div>", "<article>Buy now.</article>")
+    assert "Buy now" not in extract(page, learned()) and WORDS in extract(page, learned())
+
+
+def test_article_of_what_no_labelled_page_has():
+    items = "".join(f"<li><a href=x>Item {i}</a> of the list</li>" for i in range(30))
+    got = extract(f"<body><nav><a>Home</a></nav><article><h1>Title</h1><p>{WORDS}</p><ul>{items}</ul><table><tr><td>cell<td>other</table></article><footer>End</footer></body>", learned())
+    assert got.split("\n") == ["Title", WORDS, *(f"Item {i} of the list" for i in range(30)), "cell", "other"]
+
+
+def test_region_against_all_intervals():
+    rng = random.Random(8)
+    for _ in range(300):
+        score = [rng.choice([-6, -1, -0.5, 0, 0.25, 1, 2, 7]) for _ in range(rng.randint(0, 24))]
+        sums = {(a, b): sum(score[a : b + 1]) for a in range(len(score)) for b in range(a, len(score))}
+        best = max(sums.values(), default=0)
+        found = region(score)
+        assert found is None if best <= 0 else sums[found] == best
+
+
+def test_weak_names_are_left_to_the_scores():
+    prose = f"<section id='related'><p>{WORDS} {WORDS} {WORDS}</p></section>"
+    links = "<section id='related'><ul>" + "<li><a href=x>Other page</a></li>" * 5 + "</ul></section>"
+    for weights in (PLAIN, learned()):
+        assert extract(f"<article><p>{WORDS}</p>{prose}<p>{WORDS}</p></article>", weights).count(WORDS) == 5
+    assert "Other page" not in extract(f"<article><p>{WORDS}</p>{links}<p>{WORDS}</p></article>")
+
+
+@pytest.mark.parametrize("source", ["<a " * 10**6, "<b>" * 10**5 + "text", "<div>" * 10**5 + "text" + "</div>" * 10**5, "<p>a</b>" * 10**5, "<li><tr><b>" * 10**4 + "<li></li>" * 10**5, '<a ">' * 10**5 + "'", "<a \"'>" * 10**5, "<a '\">" * 10**5 + "\"'", "<!--" * 10**5, "<ul><li><b>" + "<i>" * 10**5 + "<hr><option></option>" * 10**5, "<section class=related>" * 10**5 + "x"])
+def test_broken_pages_take_linear_time(source):
+    began = time.time()
+    extract(source)
+    assert time.time() - began < 10
