@@ -104,6 +104,35 @@ def test_url_rules(spark):
     assert "Python" not in plan_of(judged) and "Cartesian" not in plan_of(judged) and "NestedLoop" not in plan_of(judged)
 
 
+def test_url_rules_at_the_edges_of_intervals(spark):
+    """Hosts and paths that sort next to a rule's interval, of any length and depth."""
+    rng = random.Random(11)
+    labels = ["org", "example", "example-x", "exam", "", "a", "z-", "\u00e9", "\U0010ffff", "!", "~"]
+    parts = ["/es/", "/es", "/", "\U0010ffff", "\ud7ff", "\ue000", "e", "es0", "%", "~"]
+    urls = ["http://" + ".".join(rng.choice(labels) for _ in range(rng.randint(1, 6))) + "/" + "".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) for _ in range(700)]
+    urls = [u for u in urls if not any("\ud800" <= c <= "\udfff" for c in u)]
+    urls += ["http://example.org/es/\U0010ffffx", "http://example.org./es/", "http://.example.org/es/", "http://" + "a." * 50_000 + "example.org/es/x", "http://example.org/" + "es/" * 50_000]
+    rules = [*URL_RULES, ("example.org", "/es/\U0010ffff", "allow"), ("a.org", "/", "block"), ("a.example.org", "/es", "allow"), ("org", "/e", "block"), ("z-.org", "", "block"), ("\U0010ffff", "/", "block"), ("a..org", "/", "block")]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: tuple(r)[1:] for r in url_rules.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    for i, u in enumerate(urls):
+        assert got[i] == judge(u, rules), u[:200]
+    assert got[urls.index("http://example.org/es/\U0010ffffx")][2:] == ("example.org/es/\U0010ffff", "allow")
+
+
+def test_url_rules_over_many_ranges(spark):
+    """More ranges than keys or than events: state is carried from range to range."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        urls = [f"http://h{i % 7}.com/{'fr' if i % 3 else 'de'}/{i}" for i in range(400)] + ["http://hot.com/fr/"] * 400
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        judged = url_rules.judge_urls(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+        assert {r.page_id: tuple(r)[1:] for r in judged.collect()} == {i: judge(u, URL_RULES) for i, u in enumerate(urls)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 PUBLISHED_TEXTS = {
     "Apache-2.0": """/*
  * Copyright 2020 The Authors
