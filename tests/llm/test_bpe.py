@@ -45,11 +45,20 @@ def test_backtracking_with_small_vocabularies():
             assert c.encode_piece(piece) == want, (trial, piece)
 
 
-def test_memo_can_be_emptied(pair, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO", 3)
+def test_a_small_memo_changes_nothing(pair):
     c, reference = pair
-    text = "many different words which do not fit into so small a memo"
-    assert c.encode(text) == reference.encode_ordinary(text)
+    small = bpe.Codec(c.ranks, public_tokenizers.PATTERN, 3)
+    text = "many different words which do not fit into so small a memo, words which are many " * 3
+    assert small.encode(text) == reference.encode_ordinary(text)
+    assert len(small.memo) <= 3 and len(small.memo.old) <= 3 and len(small.pairs) <= 3
+
+
+def test_what_is_found_again_stays_in_the_memo():
+    made = []
+    memo = bpe._Memo(lambda piece: made.append(piece) or [1], 4)
+    for k in range(50):
+        memo["hot"], memo[f"rare{k}"]
+    assert made.count(b"hot") == 1 and len(made) == 51
 
 
 def test_frame(spark, awkward, empty, pair):

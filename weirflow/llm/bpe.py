@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from ._common import map_rows
 
-#: Entries of a worker's memo of pieces and of pairs; either is emptied when full.
-MEMO = 100_000
+#: Entries in a generation of a worker's memo of pieces; that of pairs has as many.
+MEMO = 200_000
 #: Above any rank, to make one number of two.
 SHIFT = 1 << 32
 #: Longer pieces are not memoised.
@@ -54,7 +54,7 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encoder and decoder for one vocabulary and one pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
         self.ranks = ranks
         self.pieces = regex.compile(pattern).findall
         self.tokens = {r: t for t, r in ranks.items()}
@@ -63,8 +63,8 @@ class Codec:
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
         self.shorter = _Shorter(ranks)
-        self.pairs = _Pairs(ranks, self.tokens)
-        self.memo = _Memo(self)
+        self.pairs = _Pairs(ranks, self.tokens, memo)
+        self.memo = _Memo(self.encode_piece, memo)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         rank = self.ranks.get(piece)
@@ -109,6 +109,28 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class _Generations(dict):
+    """A memo in two generations of at most ``bound`` entries each.
+
+    A full one becomes the old one; what is found there again moves to the new one.  So frequent
+    entries stay while rare ones go.
+    """
+
+    def __init__(self, bound: int):
+        super().__init__()
+        self.bound, self.old = bound, {}
+
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
 class _Shorter(dict):
     """Token to the longest token that is a proper prefix of it, or None."""
 
@@ -123,7 +145,7 @@ class _Shorter(dict):
         return out
 
 
-class _Pairs(dict):
+class _Pairs(_Generations):
     """Whether two tokens stay as they are side by side; the key is the first's rank * SHIFT + the second's.
 
     The merges that made the two are undone from the latest.  Before a merge of rank ``limit``
@@ -131,16 +153,13 @@ class _Pairs(dict):
     equal ranks the left one comes first.
     """
 
-    def __init__(self, ranks: dict[bytes, int], tokens: dict[int, bytes]):
-        super().__init__()
+    def __init__(self, ranks: dict[bytes, int], tokens: dict[int, bytes], bound: int):
+        super().__init__(bound)
         self.ranks, self.tokens = ranks, tokens
         self.parts: dict[int, tuple[int, ...]] = {}
 
-    def __missing__(self, pair: int) -> bool:
-        if len(self) >= 2 * MEMO:
-            self.clear()
-        out = self[pair] = self._stay(*divmod(pair, SHIFT))
-        return out
+    def make(self, pair: int) -> bool:
+        return self._stay(*divmod(pair, SHIFT))
 
     def _split(self, token: int) -> tuple[int, ...]:
         """The two tokens of a token's last merge, none of a single byte's; itself alone if no merges make it."""
@@ -176,44 +195,45 @@ class _Pairs(dict):
                 limit, b = b + 1, right[0]
 
 
-class _Memo(dict):
+class _Memo(_Generations):
     """Piece to the bytes of its ids."""
 
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
+    def __init__(self, encode: Callable[[bytes], list[int]], bound: int):
+        super().__init__(bound)
+        self.encode = encode
+
+    def make(self, piece: str) -> bytes:
+        ids = self.encode(piece.encode("utf-8", "surrogatepass"))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.codec.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = out
-        return out
+        return super().__missing__(piece) if len(piece) <= MEMO_CHARS else self.make(piece)
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, memo: int = MEMO) -> Codec:
     """The codec of a vocabulary file, made once per process."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(read_ranks(path), pattern)
-    return _codecs[path, pattern]
+    if (path, pattern, memo) not in _codecs:
+        _codecs[path, pattern, memo] = Codec(read_ranks(path), pattern, memo)
+    return _codecs[path, pattern, memo]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, keep: str = "doc_id long", with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, keep: str = "doc_id long", with_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """Encode every whole text and decode it again.
 
     Columns: those of ``keep``, n_tokens, ids_sha256 (of the ids as little-endian 32-bit
     integers), decoded_sha256 (of the decoded bytes) and, ``with_ids``, the ids themselves.
     The vocabulary is read from ``path`` on each executor: a file that is installed there.
+    ``memo`` bounds the entries that a worker remembers.  Repeated rows are encoded alike, an
+    empty table gives an empty result, a text of any length is encoded whole, and columns other
+    than those kept and text are not read.
     """
     columns = [c.split()[0] for c in keep.split(",")]
 
     def make():
-        coder = codec(path, pattern)
+        coder = codec(path, pattern, memo)
 
         def rows(batch: dict[str, list]) -> Iterator[tuple]:
             for i, text in enumerate(batch["text"]):
