@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from weirflow import types as t
 from weirflow.errors import RunTimeout, SchemaError
 from weirflow.functions import Accumulator, Counter, adder, compose
-from weirflow.operators import Accumulate, AddColumn, Collect, Custom, Filter, FlatMap, ForEach, Group, Map, Reduce, RemoveColumn, RenameColumn, Repartition, col, key_columns
-from weirflow.plans import Pipeline, RunOptions, chunks
+from weirflow.operators import Accumulate, AddColumn, Collect, Custom, Filter, FlatMap, ForEach, Group, Map, Reduce, RemoveColumn, RenameColumn, Repartition, RepartitionReduce, col, key_columns
+from weirflow.plans import Pipeline, RunOptions
 from weirflow.schema import create_schema
-from weirflow.sources import DSV, JSONL, file_source, memory_source
+from weirflow.sources import DSV, JSONL, custom_source, file_source, memory_source
 
 
 def rows(df, *names):
@@ -121,8 +121,65 @@ def test_shuffle_errors_are_survived(spark):
     p = numbers(spark).to(Reduce(key, add))
     got = p.dataframe(RunOptions(ignore_row_errors=True)).collect()
     assert len(got) == 1 and got[0].col1 <= 15
-    found = p.errors().collect()
-    assert len(found) == 2 and all("Keying failed on row" in r.error and "ValueError: small" in r.error for r in found)
+    found = [r.error for r in p.errors().collect()]
+    keying = [e for e in found if "Keying failed on row" in e and "ValueError: small" in e]
+    reducing = [e for e in found if "Reduction failed on row {col1: " in e and "ValueError: large" in e]
+    assert len(keying) == 2 and reducing and len(keying) + len(reducing) == len(found)
+    with pytest.raises(Exception, match="Keying failed on row|Reduction failed on row"):
+        p.dataframe().collect()
+
+
+def test_reduction_errors_are_listed_for_every_row(spark):
+    def fails(left, right):
+        raise ValueError("never")
+
+    p = numbers(spark, 12).to(Reduce(F.lit(1), fails))
+    assert p.errors().count() == 11
+    assert p.dataframe(RunOptions(ignore_row_errors=True)).count() == 1
+
+
+def test_strict_keys(spark):
+    df = spark.createDataFrame([(1, 1), (None, 2), (None, 3)], "k int, v int")
+    p = Pipeline.of(df).to(Reduce(key_columns("k"), {"v": F.sum("v")}))
+    assert rows(p.dataframe().na.fill(-1), "k", "v") == [(-1, 5), (1, 1)]
+    with pytest.raises(Exception, match="column k has no value"):
+        p.dataframe(RunOptions(strict_keys=True)).collect()
+
+
+def test_statistics_of_stages(spark):
+    stats = numbers(spark, 30).to(Reduce(F.col("col1") % 4, {"col1": F.sum("col1")})).run().stats
+    names = ("partitions", "stage_seconds", "transform_seconds", "shuffle_seconds", "partition_seconds")
+    assert len({len(stats[n]) for n in names}) == 1 and len(stats["partitions"]) >= 2
+    assert all(n >= 1 for n in stats["partitions"]) and all(x >= 0 for n in names for x in stats[n]) and sum(stats["transform_seconds"]) > 0
+
+
+def test_custom_parser_and_source(spark):
+    class Pairs:
+        """Lines with an equals sign."""
+
+        def read_buffers(self, buffers, schema):
+            lines = buffers.select(F.explode(F.split(F.decode("buffer", "UTF-8"), "\n")).alias("line"))
+            cells = F.split("line", "=")
+            return lines.select(*(F.get(cells, i).cast(k.spark).alias(n) for i, (n, k) in enumerate(schema)))
+
+        def read_files(self, spark, paths, schema):
+            return self.read_buffers(spark.read.format("binaryFile").load(paths).select(F.col("content").alias("buffer")), schema)
+
+    class Squares:
+        """As many buffers as it is told, each made where it is needed."""
+
+        def __init__(self, n):
+            self.n = n
+
+        def read(self, spark, parser, schema):
+            made = spark.range(self.n).select(F.encode(F.concat_ws("=", F.col("id"), F.col("id") * F.col("id")), "UTF-8").alias("buffer"))
+            return parser.read_buffers(made, schema)
+
+    schema = create_schema(k=t.VarString, v=t.Int32)
+    assert rows(memory_source(spark, ["a=1\nb=2", "c=3"], Pairs(), schema).dataframe(), "k", "v") == [("a", 1), ("b", 2), ("c", 3)]
+    assert rows(custom_source(spark, Squares(3), schema, Pairs()).to(Filter(F.col("v") > 0)).dataframe(), "k", "v") == [("1", 1), ("2", 4)]
+    with pytest.raises(SchemaError):
+        custom_source(spark, Squares(3), create_schema(k=t.VarString), type("Other", (Pairs,), {"read_buffers": lambda self, b, s: b})())
 
 
 def test_error_shows_the_row_as_it_was(spark):
@@ -160,8 +217,36 @@ def test_group_and_repartition(spark):
     grouped = p.to(Group(key_columns("col1"))).dataframe()
     where = grouped.select("col1", F.spark_partition_id().alias("p")).distinct().collect()
     assert len(where) == 2 and grouped.count() == 20
-    sizes = chunks(p.to(Repartition(10, key_columns("col1"))).dataframe(), ["col1"], 10, ["col1"]).groupBy("col1", "chunk").count()
-    assert rows(sizes, "col1", "chunk", "count") == [("abc", 0, 10), ("def", 0, 10)]
+    got = p.to(Repartition(10, key_columns("col1")), Collect(4)).run()
+    assert sorted(len(c) for c in got.chunks) == [10, 10] and all(len({r.col1 for r in c}) == 1 for c in got.chunks)
+    assert len(got.collected) == 20 and got.collected[0].__fields__ == ["col1"]
+    assert len(p.to(Repartition(4, key_columns("col1")), Collect(3)).run().chunks) == 3
+    sizes = p.to(Repartition(4, key_columns("col1"))).chunked().groupBy("col1", "chunk").count()
+    assert rows(sizes, "col1", "count") == [("abc", 2), ("abc", 4), ("abc", 4), ("def", 2), ("def", 4), ("def", 4)]
+    with pytest.raises(SchemaError):
+        p.to(Group(key_columns("col1"))).chunked()
+
+
+def test_chunks_of_common_keys_and_of_reductions(spark):
+    df = spark.range(1000).selectExpr("if(id % 3 = 0, id % 7, null) as k", "id as v").union(spark.range(50).selectExpr("null as k", "cast(5 as long) as v"))
+    base = Pipeline.of(df)
+    sized = base.to(Repartition(10, key_columns("k"))).chunked()
+    for r in sized.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chunk").alias("chunks")).collect():
+        assert r.chunks == -(-r.n // 10)
+    assert sized.groupBy("chunk").agg(F.countDistinct(F.coalesce("k", F.lit(-1))).alias("keys"), F.count(F.lit(1)).alias("n")).where("keys > 1 or n > 10").count() == 0
+    assert sorted((r.k is None, r.k or 0, r.v) for r in sized.collect()) == sorted((r.k is None, r.k or 0, r.v) for r in df.collect())
+    key = lambda row: b"%d" % (row["v"] % 35)
+
+    def add(left, right):
+        left["v"] = left["v"] + right["v"]
+
+    for reduced in (base.to(RepartitionReduce(8, F.col("v") % 35, {"v": F.sum("v")})), base.to(RepartitionReduce(8, key, add))):
+        sizes = [r["count"] for r in reduced.chunked().groupBy("chunk").count().collect()]
+        assert sorted(sizes) == [3, 8, 8, 8, 8] and reduced.dataframe().columns == ["k", "v"]
+        assert sum(r.v for r in reduced.dataframe().collect()) == 999 * 500 + 250
+        assert [len(c) for c in reduced.to(Collect(2)).run().chunks] in ([8, 8], [8, 3], [3, 8])
+    after = base.to(Repartition(10, key_columns("k")), Filter(F.col("v") < 5)).dataframe()
+    assert after.columns == ["k", "v"] and after.count() == 5
 
 
 def test_columns_are_visible_by_stage(spark):
@@ -240,9 +325,12 @@ def test_dsv_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('n;w\n1;"x ""y"""\n2;"two\nlines"\n')
     (tmp_path / "b.csv").write_text("n;w\n3;null\n")
     schema = create_schema(n=t.Int32, w=t.VarString)
-    for p in (DSV(header_lines=1, delimiter=";", nil_value="null"),):
-        assert sorted(map(tuple, file_source(spark, f"{tmp_path}/*.csv", p, schema).dataframe().collect())) == [(1, 'x "y"'), (2, "two\nlines"), (3, None)]
-    assert file_source(spark, f"{tmp_path}/*.csv", DSV(header_lines=2, delimiter=";"), schema).dataframe().count() == 1
+    p = DSV(header_lines=1, delimiter=";", nil_value="null", multiline=True)
+    assert sorted(map(tuple, file_source(spark, f"{tmp_path}/*.csv", p, schema).dataframe().collect())) == [(1, 'x "y"'), (2, "two\nlines"), (3, None)]
+    assert file_source(spark, f"{tmp_path}/*.csv", DSV(header_lines=2, delimiter=";", multiline=True), schema).dataframe().count() == 1
+    with pytest.raises(Exception, match="quote is open at the end of a line"):
+        file_source(spark, f"{tmp_path}/a.csv", DSV(header_lines=1, delimiter=";"), schema).dataframe().collect()
+    assert rows(file_source(spark, f"{tmp_path}/b.csv", DSV(header_lines=1, delimiter=";", nil_value="null"), schema).dataframe(), "n", "w") == [(3, None)]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         file_source(spark, f"{tmp_path}/*.none", DSV(), schema)
     got = file_source(spark, f"{tmp_path}/a.csv", DSV(header_lines=1, delimiter=";"), schema, decoder=lambda b: b.upper())
@@ -265,3 +353,41 @@ def test_jsonl_coercions(spark):
         memory_source(spark, ["{}"], JSONL(), create_schema(f=t.Uint8))
     with pytest.raises(Exception, match="longer than"):
         memory_source(spark, ['{"f": 1}'], JSONL(max_line=4), create_schema(f=t.Float64)).dataframe().collect()
+
+
+def test_large_files_are_split(spark, tmp_path):
+    lines = [f'{i};"say ""{i}"";"' for i in range(60_000)]
+    (tmp_path / "a.csv").write_text("head;x\r\nmore;y\r\n" + "\r\n".join(lines) + "\r\n")
+    (tmp_path / "b.csv").write_text("head;x\nmore;y\n# note\n\n7;seven\n")
+    (tmp_path / "c.jsonl").write_text("head\n" + "\n".join(f'{{"n": {i}}}' for i in range(60_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        schema = create_schema(n=t.Int32, w=t.VarString)
+        df = file_source(spark, f"{tmp_path}/*.csv", DSV(header_lines=2, delimiter=";", comment="#"), schema).dataframe()
+        assert df.rdd.getNumPartitions() >= 4
+        got = sorted(map(tuple, df.collect()))
+        assert got == sorted([(i, f'say "{i}";') for i in range(60_000)] + [(7, "seven")])
+        df = file_source(spark, f"{tmp_path}/c.jsonl", JSONL(header_lines=1), create_schema(n=t.Int32)).dataframe()
+        assert df.rdd.getNumPartitions() >= 3 and df.agg(F.sum("n")).first()[0] == 60_000 * 59_999 // 2 and df.count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for bad in ("1;2;3", "1"):
+        (tmp_path / "d.csv").write_text(bad)
+        with pytest.raises(Exception):
+            file_source(spark, f"{tmp_path}/d.csv", DSV(delimiter=";"), schema).dataframe().collect()
+
+
+def test_widths_are_bytes(spark):
+    text = "éééé|aé日|日日|abc|é日|\U0001f642x"
+    want = ["é", "aé", "日", "abc", "é", ""]
+    parsed = memory_source(spark, ["\n".join(text.split("|"))], DSV(), create_schema(w=t.String(3))).dataframe()
+    assert [r.w for r in parsed.collect()] == want
+    lines = [f'{{"w": "{x}"}}' for x in text.split("|")]
+    parsed = memory_source(spark, ["\n".join(lines)], JSONL(), create_schema(w=t.String(3)))
+    assert [r.w for r in parsed.dataframe().collect()] == want
+
+    def same(row):
+        row["w"] = row["w"]
+
+    assert parsed.to(Map(same)).dataframe().count() == 6

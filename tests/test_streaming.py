@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,3 +31,36 @@ def test_timeout_and_collect(spark):
     assert seen
     with pytest.raises(SchemaError):
         p.to(Collect(1))
+
+
+def test_a_stopped_stream_goes_on_where_it_was(spark, tmp_path):
+    place, seen = f"file://{tmp_path}/checkpoint", []
+
+    def source(limit):
+        lines = generator_source(spark, [lambda k, g=g: f'{{"col1": {10 * k + g}}}' for g in range(2)], 3, limit, checkpoint=place)
+        return stream_pipeline(lines, JSONL(), create_schema(col1=t.Int32))
+
+    def sink(df, number):
+        seen.append((number, sorted(r.col1 for r in df.collect())))
+
+    for limit in (2, 2, 4):
+        run_stream(source(limit), sink, available=True, timeout=60, checkpoint=place)
+    assert seen == [(b, sorted(10 * k + g for k in range(3 * b, 3 * b + 3) for g in range(2))) for b in range(4)]
+
+
+def test_time_limit_holds_for_what_is_available(spark):
+    def slow(df, number):
+        time.sleep(1)
+
+    began = time.time()
+    with pytest.raises(StreamTimeout):
+        run_stream(pipeline(spark, None, "unlimited"), slow, timeout=3, available=True)
+    assert time.time() - began < 30
+
+
+def test_sources_do_not_replace_each_other(spark):
+    first, second = (generator_source(spark, [lambda k, n=n: f'{{"col1": {n}}}'], 2, 1) for n in (1, 2))
+    seen = []
+    for lines in (first, second):
+        run_stream(stream_pipeline(lines, JSONL(), create_schema(col1=t.Int32)), lambda df, number: seen.append([r.col1 for r in df.collect()]), available=True)
+    assert seen == [[1, 1], [2, 2]]

@@ -115,18 +115,24 @@ class Reduce(Operation):
 
 
 def Repartition(size: int, key: Key) -> Group:
-    """Group, and deal rows of a key in chunks of at most ``size`` rows."""
+    """Group, and deal the rows of a key in chunks of ``size`` rows, the last one smaller.
+
+    ``Collect`` then brings chunks and ``Pipeline.chunked`` numbers them.
+    """
     return Group(key, size)
 
 
 def RepartitionReduce(size: int, key: Key, merge: dict[str, Column] | Callable[[Any, Any], None]) -> Reduce:
-    """Reduce, and give out batches of at most ``size`` rows."""
+    """Reduce, and deal the results in chunks of ``size`` rows, the last one smaller."""
     return Reduce(key, merge, size)
 
 
 @dataclass(frozen=True)
 class Collect(Operation):
-    """Bring at most ``partitions`` times the partition size of rows to the caller; any rows, in any order."""
+    """Bring at most ``partitions`` chunks of rows to the caller, any ones, in any order.
+
+    Chunks are those of a repartitioning just before; else any rows, as many as the partition size says.
+    """
 
     partitions: int
     ends = True

@@ -11,18 +11,22 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import RowError, RunTimeout, SchemaError
 from ..operators import Accumulate, AddColumn, Collect, Custom, Filter, FlatMap, ForEach, Group, Map, Operation, Reduce, RemoveColumn, RenameColumn, check, col
-from ..rows import ERROR, Row, apply_rows, arrow_fields, log, read_rows, to_batch
+from ..rows import ERROR, Row, apply_rows, arrow_fields, read_rows, to_batch
 from ..schema import Schema, schema_of
 from ..shipping import ship
 
-#: Keys that a task folds before it gives out what it has.
-FOLD_KEYS = 100_000
+#: Keys, and bytes of rows, that a task folds before it gives out what it has.
+FOLD_KEYS, FOLD_BYTES = 100_000, 64 << 20
+#: The column that numbers the chunks of a repartitioning while a pipeline is compiled.
+CHUNK = "_chunk"
+#: The hash of a reduction's key, where its results are dealt in chunks.
+HASH = "_hash"
 
 
 @dataclass
@@ -32,20 +36,31 @@ class RunOptions:
     ``timeout``: seconds after which ``run`` cancels its jobs and raises RunTimeout.
     ``count_rows``: ``run`` counts the rows that each stage gives out (``stats["rows"]``); filters
     are then not pushed through the ends of stages.
+    ``strict_keys``: a missing value in a key column ends the run; otherwise missing values are a
+    key of their own.
     """
 
     ignore_row_errors: bool = False
     partition_size: int = 128
     timeout: float | None = None
     count_rows: bool = False
+    strict_keys: bool = False
 
 
 @dataclass
 class Result:
-    """What a run returns: an accumulated value, or collected rows; and its statistics."""
+    """What a run returns: an accumulated value, or collected rows; and its statistics.
+
+    ``chunks``: the collected rows by chunk, after a repartitioning.  ``stats``: seconds; stages;
+    rows by stage, if they are counted; and of each of Spark's stages, in order: how many
+    partitions it had (partitions), its time (stage_seconds), that of its tasks without and in
+    writing its shuffle (transform_seconds, shuffle_seconds) and the mean of a partition's
+    (partition_seconds).
+    """
 
     accumulated: Any = None
     collected: list[T.Row] | None = None
+    chunks: list[list[T.Row]] | None = None
     stats: dict[str, Any] = field(default_factory=dict)
 
 
@@ -93,7 +108,20 @@ class Pipeline:
     def dataframe(self, options: RunOptions | None = None, source: DataFrame | None = None) -> DataFrame:
         """The compiled frame, without the operation that ends the pipeline."""
         df, _ = self._compile(options or RunOptions(), source)
-        return df
+        return df.drop(CHUNK)
+
+    def chunked(self, options: RunOptions | None = None, name: str = "chunk") -> DataFrame:
+        """The frame of a pipeline whose last shuffle is a repartitioning, with one column more:
+        the chunk of the row (a struct, the same for the rows of one chunk)."""
+        if not self._sized():
+            raise SchemaError("the pipeline does not end with a repartitioning")
+        df, _ = self._compile(options or RunOptions(), None)
+        return df.withColumnRenamed(CHUNK, name)
+
+    def _sized(self) -> int | None:
+        """The size of the chunks that the pipeline's last operation (but for its end) deals."""
+        last = [op for op in self.operations if not op.ends][-1:]
+        return getattr(last[0], "size", None) if last else None
 
     def errors(self, options: RunOptions | None = None) -> DataFrame:
         """The messages of all rows that were left out: column error."""
@@ -110,6 +138,8 @@ class Pipeline:
             for op in stage:
                 if op.ends:
                     break
+                if CHUNK in df.columns:
+                    df = df.drop(CHUNK)
                 if op.shuffles and not isinstance(op, Custom):
                     kept = schema.repack()
                     # the key may read columns that go at the end of this stage
@@ -132,15 +162,20 @@ class Pipeline:
             return self._run(options)
 
     def _run(self, options: RunOptions) -> Result:
-        began = time.time()
+        began, first_job = time.time(), _next_job(self.source.sparkSession)
         counts: list[Observation] | None = [] if options.count_rows else None
         df, schema = self._compile(options, None, counts=counts)
         last = self.operations[-1] if self.operations else None
         result = Result()
-        if isinstance(last, Collect):
-            # partitions are as large as the last repartitioning made them
-            sizes = [op.size for op in self.operations if op.shuffles and getattr(op, "size", None)]
-            result.collected = df.limit(last.partitions * (sizes[-1] if sizes else options.partition_size)).collect()
+        if isinstance(last, Collect) and self._sized():
+            chosen = df.select(CHUNK).distinct().limit(last.partitions)  # so many rows, whatever the input
+            got: dict[Any, list[T.Row]] = {}
+            for r in df.join(chosen, df[CHUNK].eqNullSafe(chosen[CHUNK]), "left_semi").collect():
+                got.setdefault(r[CHUNK], []).append(_without(r, CHUNK))
+            result.chunks = list(got.values())
+            result.collected = [r for c in result.chunks for r in c]
+        elif isinstance(last, Collect):
+            result.collected = df.limit(last.partitions * options.partition_size).collect()
         elif isinstance(last, Accumulate):
             result.accumulated = accumulate(df, schema, last.factory)
         elif isinstance(last, ForEach):
@@ -156,12 +191,49 @@ class Pipeline:
             df.mapInArrow(effect, "done boolean").write.format("noop").mode("overwrite").save()
         else:
             df.write.format("noop").mode("overwrite").save()
-        result.stats = {"seconds": time.time() - began, "stages": len(self.stages())}
+        result.stats = {"seconds": time.time() - began, "stages": len(self.stages())} | _stage_times(self.source.sparkSession, first_job)
         if counts is not None:
             result.stats["rows"] = [o.get["rows"] for o in counts]
         return result
 
 
+def _without(row: T.Row, name: str) -> T.Row:
+    return T.Row(**{k: v for k, v in zip(row.__fields__, row, strict=True) if k != name})
+
+
+def _next_job(spark: SparkSession) -> int:
+    jobs = spark.sparkContext._jsc.sc().statusStore().jobsList(None)
+    return jobs.head().jobId() + 1 if jobs.nonEmpty() else 0
+
+
+def _stage_times(spark: SparkSession, first_job: int) -> dict[str, list]:
+    """Of the stages that jobs from ``first_job`` on have run, in order, what Spark's status says."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    out: dict[str, list] = {"partitions": [], "stage_seconds": [], "transform_seconds": [], "shuffle_seconds": [], "partition_seconds": []}
+    jobs, ids = store.jobsList(None).iterator(), set()
+    while jobs.hasNext():
+        job = jobs.next()
+        if job.jobId() >= first_job:
+            stages = job.stageIds().iterator()
+            while stages.hasNext():
+                ids.add(int(stages.next()))
+    for i in sorted(ids):
+        try:
+            stage = store.lastStageAttempt(i)
+        except Exception:  # noqa: S112, BLE001  (a stage whose result was there already has no attempt)
+            continue
+        tasks, whole = stage.numCompleteTasks(), stage.executorRunTime() / 1e3
+        if tasks:
+            shuffle = stage.shuffleWriteTime() / 1e9
+            ends = stage.submissionTime(), stage.completionTime()
+            out["partitions"].append(tasks)
+            out["stage_seconds"].append((ends[1].get().getTime() - ends[0].get().getTime()) / 1e3 if all(e.isDefined() for e in ends) else 0.0)
+            out["transform_seconds"].append(max(0.0, whole - shuffle))
+            out["shuffle_seconds"].append(shuffle)
+            out["partition_seconds"].append(whole / tasks)
+    return out
+
+
 @contextmanager
 def _deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
     """Cancels the jobs started within once ``seconds`` are over."""
@@ -257,25 +329,44 @@ def _narrow(df: DataFrame, schema: Schema, op: Operation, options: RunOptions, e
 
 
 def _shuffle(df: DataFrame, schema: Schema, kept: Schema, op: Group | Reduce, options: RunOptions, errors: list[DataFrame] | None) -> DataFrame:
+    if options.strict_keys and not _opaque(op.key) and not isinstance(op.key, Column):
+        df = df.withColumns({n: F.when(col(n).isNotNull(), col(n)).otherwise(F.raise_error(F.lit(f"Keying failed: column {n} has no value")).cast(df.schema[n].dataType)) for n in op.key})
     if isinstance(op, Reduce):
         if isinstance(op.merge, dict) and not _opaque(op.key):
             out = _reduce(df, kept, op)
         else:
             out = _fold(df, schema, kept, op, options, errors)
-        return out
+        return _dealt(out, [], op.size, col(HASH)).select(*map(col, kept.columns), CHUNK) if op.size else out
     keyed = df if not _opaque(op.key) else _python_key(df, schema, op.key, options, errors)
     names, key = _key(op.key)
     keyed = keyed.withColumns(key)
+    if op.size:
+        hashed = [col(f.name) for f in keyed.schema if not isinstance(f.dataType, T.MapType | T.VariantType)]
+        return _dealt(keyed, names, op.size, F.xxhash64(*hashed)).select(*map(col, kept.columns), CHUNK)
     out = keyed.repartition(*map(col, names)).sortWithinPartitions(*map(col, names))
     return out.select(*map(col, kept.columns))
 
 
-def chunks(df: DataFrame, keys: Sequence[str], size: int, order: Sequence[str]) -> DataFrame:
-    """``df`` with chunk: the number of the row's chunk of ``size`` rows within its key, by ``order``."""
-    from pyspark.sql import Window
+def _dealt(df: DataFrame, keys: Sequence[str], size: int, hashed: Column) -> DataFrame:
+    """``df`` dealt by CHUNK: the key and the number of the row's chunk of ``size`` rows in it.
 
-    place = F.row_number().over(Window.partitionBy(*map(col, keys)).orderBy(*map(col, order)))
-    return df.withColumn("chunk", F.floor((place - 1) / size).cast("long"))
+    Rows are numbered within their key and a salt from their hash, then moved on by how many
+    rows the key's salts before have; so no key, however common, is numbered in one task.
+    """
+    spread = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = df.withColumn("_salt", F.pmod(hashed, F.lit(spread)).cast("int"))
+    same = [col(k) for k in keys]
+    counts = salted.groupBy(*same, "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*same).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*(col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    met = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    on = F.col("_salt") == F.col("_s")
+    for m in met:
+        on = on & m
+    placed = salted.join(starts, on)
+    number = F.col("_start") + F.row_number().over(Window.partitionBy(*same, "_salt").orderBy(F.lit(0))) - 1
+    chunk = F.struct(*(col(k).alias(f"key{i}") for i, k in enumerate(keys)), F.floor(number / size).cast("long").alias("number"))
+    return placed.withColumn(CHUNK, chunk).repartition(CHUNK).sortWithinPartitions(CHUNK)
 
 
 def _opaque(key: Any) -> bool:
@@ -301,7 +392,8 @@ def _reduce(df: DataFrame, kept: Schema, op: Reduce) -> DataFrame:
         elif n not in names:
             aggs.append(F.any_value(col(n)).alias(f"_agg_{n}"))
     out = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
-    return out.select(*(col(n) if n in names and n not in op.merge else col(f"_agg_{n}").alias(n) for n in kept.columns))
+    made = [col(n) if n in names and n not in op.merge else col(f"_agg_{n}").alias(n) for n in kept.columns]
+    return out.select(*made, *([F.xxhash64(*map(col, names)).alias(HASH)] if op.size else []))
 
 
 def _python_key(df: DataFrame, schema: Schema, key: Callable[[Row], bytes], options: RunOptions, errors: list[DataFrame] | None) -> DataFrame:
@@ -317,8 +409,11 @@ def _python_key(df: DataFrame, schema: Schema, key: Callable[[Row], bytes], opti
 
 
 def _fold(df: DataFrame, schema: Schema, kept: Schema, op: Reduce, options: RunOptions, errors: list[DataFrame] | None) -> DataFrame:
-    """An opaque reduction: folded within each task, dealt by key, sorted and folded again."""
-    from ..types import VarBytes
+    """An opaque reduction: folded within each task, dealt by key, sorted and folded again.
+
+    A row on which the function fails is left out; its error travels as a row of its own.
+    """
+    from ..types import Int64, VarBytes, VarString
 
     ship(df.sparkSession)
     if _opaque(op.key):
@@ -328,46 +423,50 @@ def _fold(df: DataFrame, schema: Schema, kept: Schema, op: Reduce, options: RunO
         # a typed, null-safe rendering of the key's values
         made = key["_key"] if key else F.struct(*(col(n) for n in names))
         keyed = df.withColumn("_key", F.to_json(F.struct(made.alias("k")), {"ignoreNullFields": "false"}).cast("binary"))
-    widened = kept.clone().create_column("_key", VarBytes)
+    widened = kept.clone().create_column("_key", VarBytes).create_column(ERROR, VarString)
     struct, ignore = widened.struct(), options.ignore_row_errors
     fields = arrow_fields(struct)
     merge = op.merge
     if isinstance(merge, dict):
         raise SchemaError("a reduction with a Python key needs a Python function")
 
-    def join(left: Row, right: Row) -> Row:
-        before = dict(left.values)
+    def join(left: Row, right: Row, failed: list[dict[str, Any]]) -> Row:
+        before = dict(left.values) if ignore else None
         try:
             merge(left, right)
         except Exception as e:
             if not ignore:
                 raise RowError("Reduction", right.to_string(), f"{type(e).__name__}: {e}") from e
-            log.error("Reduction failed on row %s: %s", right.to_string(), e)
+            failed.append({"_key": before["_key"], ERROR: f"Reduction failed on row {right.to_string()}: {type(e).__name__}: {e}"})
             left.values = before
         return left
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, Row] = {}
+        size, failed = 0, []
         for batch in batches:
             for row in read_rows(batch, widened):
                 k = row.values["_key"]
-                held[k] = join(held[k], row) if k in held else row
-            if len(held) >= FOLD_KEYS:
-                yield to_batch([r.values for r in held.values()], widened, fields)
-                held = {}
-        if held:
-            yield to_batch([r.values for r in held.values()], widened, fields)
+                held[k] = join(held[k], row, failed) if k in held else row
+            size += batch.nbytes
+            if len(held) >= FOLD_KEYS or size >= FOLD_BYTES or failed:
+                yield to_batch([r.values for r in held.values()] + failed, widened, fields)
+                held, size, failed = {}, 0, []
+        if held or failed:
+            yield to_batch([r.values for r in held.values()] + failed, widened, fields)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, out = None, []
         for batch in batches:
             for row in read_rows(batch, widened):
-                if now is not None and now.values["_key"] == row.values["_key"]:
-                    now = join(now, row)
-                    continue
-                if now is not None:
-                    out.append(now.values)
-                now = row
+                if row.values[ERROR] is not None:  # failed in a task that folded
+                    out.append(row.values)
+                elif now is not None and now.values["_key"] == row.values["_key"]:
+                    now = join(now, row, out)
+                else:
+                    if now is not None:
+                        out.append(now.values)
+                    now = row
             if len(out) >= 4096:
                 yield to_batch(out, widened, fields)
                 out = []
@@ -376,9 +475,12 @@ def _fold(df: DataFrame, schema: Schema, kept: Schema, op: Reduce, options: RunO
         if out:
             yield to_batch(out, widened, fields)
 
-    ready = keyed.select(*map(col, widened.columns))
-    dealt = ready.mapInArrow(combine, struct).repartition("_key").sortWithinPartitions("_key")
-    return dealt.mapInArrow(finish, struct).select(*map(col, kept.columns))
+    ready = keyed.select(*map(col, [*kept.columns, "_key"]))
+    dealt = ready.withColumn(ERROR, F.lit(None).cast("string")).mapInArrow(combine, struct).repartition("_key").sortWithinPartitions("_key")
+    done = dealt.mapInArrow(finish, struct)
+    if op.size:
+        done, kept = done.withColumn(HASH, F.xxhash64("_key")), kept.clone().create_column(HASH, Int64)
+    return _split(done, kept, errors, options)
 
 
 def accumulate(df: DataFrame, schema: Schema, factory: Callable[[], Any]) -> Any:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 import zlib
 from collections.abc import Callable
@@ -10,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import Counter, adder, compose
-from ..operators import Accumulate, AddColumn, Collect, Custom, Filter, FlatMap, Group, Map, Reduce, RemoveColumn, RenameColumn, Repartition, RepartitionReduce, col, key_columns
+from ..errors import StreamTimeout
+from ..functions import Accumulator, Counter, adder, compose
+from ..operators import Accumulate, AddColumn, Collect, Custom, Filter, FlatMap, ForEach, Group, Map, Reduce, RemoveColumn, RenameColumn, Repartition, RepartitionReduce, col, key_columns
 from ..schema import create_schema
 from ..shipping import shared_root
-from ..sources import DSV, JSONL, file_source, table_source
+from ..sources import DSV, JSONL, custom_source, file_source, memory_source, table_source
 from ..streaming import generator_source, run_stream, stream_pipeline
-from ..types import Float64, Int32, Int64, VarString, custom
-from . import Pipeline, RunOptions, chunks
+from ..types import Float64, Int32, Int64, String, VarString, custom
+from . import Pipeline, RunOptions
 
 STREAM_BATCH = 1000
 
@@ -126,8 +128,7 @@ def group(spark, sf_dir):
 def repartition(spark, sf_dir):
     """Rows of a supplier in chunks of ten: how many chunks, and how many rows in the last."""
     p = read(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber").to(Repartition(10, key_columns("l_suppkey")))
-    dealt = chunks(p.dataframe(), ["l_suppkey"], 10, ["l_orderkey", "l_linenumber"])
-    sizes = dealt.groupBy("l_suppkey", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    sizes = p.chunked().groupBy("l_suppkey", "chunk").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("chunks"), F.max("n").alias("largest"), F.max_by("n", "chunk").alias("last"))
 
 
@@ -280,6 +281,202 @@ def stream_reduce(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def group_partitions(spark, sf_dir):
+    """In how many partitions the rows of an order stand after grouping."""
+    placed = group(spark, sf_dir).select("l_orderkey", F.spark_partition_id().alias("part"))
+    return placed.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("partitions"))
+
+
+def repartition_reduce_sizes(spark, sf_dir):
+    """Sizes of the chunks of ten into which the reduced rows are dealt."""
+    p = read(spark, sf_dir, "lineitem", "l_partkey", "l_quantity").to(RepartitionReduce(10, key_columns("l_partkey"), {"l_quantity": F.sum("l_quantity")}))
+    sizes = p.chunked().groupBy("chunk").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def collect_chunks(spark, sf_dir):
+    """Collected chunks of two nations of a region: region, number of rows, number of regions in the chunk."""
+    p = read(spark, sf_dir, "nation", "n_nationkey", "n_regionkey").to(Repartition(2, key_columns("n_regionkey")), Collect(100))
+    found = [(c[0].n_regionkey, len(c), len({r.n_regionkey for r in c})) for c in p.run().chunks]
+    return spark.createDataFrame(found, "n_regionkey int, n int, regions int")
+
+
+def map_opaque(spark, sf_dir):
+    """A row function with typed getters and setters."""
+
+    def net(row):
+        row.set_var_string("flag", row.get_var_string("l_returnflag").lower())
+        row.set_int64("eighths", row.get_int32("l_linenumber") * 8)
+
+    p = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").to(AddColumn("flag", VarString), AddColumn("eighths", Int64), Map(net))
+    return p.to(RemoveColumn("l_returnflag")).dataframe()
+
+
+def flat_map_opaque(spark, sf_dir):
+    """The words of a name from a row function and its factory of rows."""
+
+    def words(row, new):
+        for w in row["p_name"].split(" "):
+            made = new()
+            made["p_partkey"], made["word"] = row["p_partkey"], w
+
+    return read(spark, sf_dir, "part", "p_partkey", "p_name").to(AddColumn("word", VarString), FlatMap(words), RemoveColumn("p_name")).dataframe()
+
+
+def filter_opaque(spark, sf_dir):
+    def wanted(row):
+        return row["l_returnflag"] == "R" and row["l_linenumber"] > 3
+
+    return read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").to(Filter(wanted)).dataframe()
+
+
+def for_each(spark, sf_dir):
+    """The effect of a function that is run on every row: it adds to counters of Spark's."""
+    seen, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def note(row):
+        seen.add(1)
+        total.add(row["l_linenumber"])
+
+    read(spark, sf_dir, "lineitem", "l_linenumber").to(ForEach(note)).run()
+    return spark.createDataFrame([(seen.value, total.value)], "n long, total long")
+
+
+def no_terminal(spark, sf_dir):
+    """A pipeline without an end runs all the same; its statistics tell the rows of its stages."""
+    p = read(spark, sf_dir, "orders", "o_custkey").to(Reduce(key_columns("o_custkey"), {}), Filter(F.col("o_custkey") > 50))
+    stats = p.run(RunOptions(count_rows=True)).stats
+    return spark.createDataFrame([(n, stats["rows"][n], bool(stats["partitions"])) for n in range(2)], "stage int, n long, timed boolean")
+
+
+class Longest(Accumulator):
+    """An accumulator in Python: the longest text of a column, the first of equals by text."""
+
+    def __init__(self) -> None:
+        self.best = ""
+
+    def accumulate(self, row) -> None:
+        self._take(row["p_name"])
+
+    def merge(self, other: Longest) -> None:
+        self._take(other.best)
+
+    def _take(self, text: str) -> None:
+        if (-len(text), text) < (-len(self.best), self.best):
+            self.best = text
+
+    def value(self) -> str:
+        return self.best
+
+
+def custom_accumulator(spark, sf_dir):
+    return spark.createDataFrame([(read(spark, sf_dir, "part", "p_name").to(Accumulate(Longest)).run().accumulated,)], "longest string")
+
+
+def memory_buffers(spark, sf_dir):
+    """Buffers of the driver: a region's nations in each."""
+    held: dict[int, list[str]] = {}
+    for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect():
+        held.setdefault(r.n_regionkey, []).append(f'{{"key": "{r.n_nationkey}", "name": "{r.n_name}"}}')
+    return memory_source(spark, ["\n".join(lines) for lines in held.values()], JSONL(), create_schema(key=Int32, name=VarString)).dataframe()
+
+
+class Pairs:
+    """A parser of lines of fields with their names: name=value, parted by bars."""
+
+    def read_buffers(self, buffers: DataFrame, schema) -> DataFrame:
+        lines = buffers.select(F.explode(F.split(F.decode("buffer", "UTF-8"), "\n")).alias("line")).where("line <> ''")
+        return self._fields(lines, schema)
+
+    def read_files(self, spark, paths, schema) -> DataFrame:
+        return self._fields(spark.read.text(paths).withColumnRenamed("value", "line"), schema)
+
+    def _fields(self, lines: DataFrame, schema) -> DataFrame:
+        found = F.str_to_map("line", F.lit("\\|"), F.lit("="))
+        return lines.select(*(found[n].cast(k.spark).alias(n) for n, k in schema))
+
+
+def custom_parser(spark, sf_dir):
+    """Files that a parser of the user's reads."""
+    path = _scratch(spark, "pairs")
+    _orders(spark, sf_dir).select(F.concat(F.lit("o_custkey="), F.col("o_custkey"), F.lit("|o_orderkey="), F.col("o_orderkey"))).write.text(path)
+    return file_source(spark, path, Pairs(), create_schema(o_orderkey=Int64, o_custkey=Int64)).dataframe()
+
+
+class Tabled:
+    """A source of the user's: a column of a table as buffers, which a parser reads."""
+
+    def __init__(self, path: str, column: str):
+        self.path, self.column = path, column
+
+    def read(self, spark, parser, schema) -> DataFrame:
+        return parser.read_buffers(spark.read.parquet(self.path).select(F.encode(self.column, "UTF-8").alias("buffer")), schema)
+
+
+def custom_source_query(spark, sf_dir):
+    p = custom_source(spark, Tabled(f"{sf_dir}/events.parquet", "props"), create_schema(k=Int32), JSONL())
+    return p.to(AddColumn("n", Int64), Map({"n": F.lit(1)}), Reduce(key_columns("k"), {"n": F.sum("n")})).dataframe()
+
+
+def listed_errors(spark, sf_dir):
+    """The errors of rows that were left out, by phase and cause."""
+
+    def fails(row):
+        if row["o_orderkey"] % 2:
+            raise ValueError("odd")
+
+    def never(left, right):
+        raise ValueError("never")
+
+    found = read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").to(Map(fails), Reduce(key_columns("o_orderstatus"), never)).errors()
+    cause = F.regexp_extract("error", "^([A-Za-z]+) failed on row .*: (ValueError: [a-z]+)$", 1).alias("phase"), F.regexp_extract("error", "(ValueError: [a-z]+)$", 1).alias("cause")
+    return found.groupBy(*cause).agg(F.count(F.lit(1)).alias("n"))
+
+
+def parse_header_lines(spark, sf_dir):
+    """Two lines before the records of each file, in files that Spark splits."""
+    path = _scratch(spark, "headed")
+    value = F.concat_ws("|", "o_orderkey", F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"')))
+    files = _orders(spark, sf_dir).groupBy(F.pmod("o_orderkey", F.lit(3)).alias("file")).agg(F.array_join(F.collect_list(value), "\n").alias("lines"))
+    made = files.select(F.concat(F.lit("order|priority\nnumber|text\n"), F.col("lines")).alias("value"))
+    made.select("value").repartition(3).write.text(path, lineSep="\n")
+    return file_source(spark, path, DSV(header_lines=2, delimiter="|"), create_schema(o_orderkey=Int64, o_orderpriority=VarString)).dataframe()
+
+
+def parse_width(spark, sf_dir):
+    """Texts of a width in bytes, cut between characters."""
+    path = _scratch(spark, "width")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.to_json(F.struct("doc_id", F.substring("text", 1, 200).alias("text")))).write.text(path)
+    p = file_source(spark, path, JSONL(), create_schema(doc_id=Int64, text=String(20)))
+    return p.dataframe().select("doc_id", F.octet_length("text").alias("n_bytes"), F.length("text").alias("n_chars"))
+
+
+def stream_timeout(spark, sf_dir):
+    """A stream without an end stops at its time limit, and with it what is available."""
+    count = spark.read.parquet(f"{sf_dir}/region.parquet").count()
+    stopped = []
+    for available in (False, True):
+        lines = generator_source(spark, [lambda k: f'{{"n": {k}}}'] * count, 2)
+        try:
+            run_stream(stream_pipeline(lines, JSONL(), create_schema(n=Int64)), lambda df, number: time.sleep(0.2), timeout=2, available=available)
+        except StreamTimeout:
+            stopped.append((available, count))
+    return spark.createDataFrame(stopped, "available boolean, n long")
+
+
+def stream_restart(spark, sf_dir):
+    """A stream that is stopped and started again gives every record once."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    count, size = events.count(), STREAM_BATCH // 4
+    checkpoint, path = _scratch(spark, "stopped"), _scratch(spark, "restarted")
+    record = lambda g: lambda k: f'{{"event_id": {4 * k + g}}}' if 4 * k + g < count else "{}"
+    for batches in (2, -(-count // STREAM_BATCH)):
+        lines = generator_source(spark, [record(g) for g in range(4)], size, limit=batches, checkpoint=checkpoint)
+        p = stream_pipeline(lines, JSONL(), create_schema(event_id=Int64)).to(Filter(F.col("event_id").isNotNull()))
+        run_stream(p, lambda df, number: df.write.mode("append").parquet(path), available=True, checkpoint=checkpoint)
+    return spark.read.parquet(path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "add_column": add_column,
     "remove_column": remove_column,
@@ -312,6 +509,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shuffle_error_skip": shuffle_error_skip,
     "custom_operation": custom_operation,
     "stream_reduce": stream_reduce,
+    "group_partitions": group_partitions,
+    "repartition_reduce_sizes": repartition_reduce_sizes,
+    "collect_chunks": collect_chunks,
+    "map_opaque": map_opaque,
+    "flat_map_opaque": flat_map_opaque,
+    "filter_opaque": filter_opaque,
+    "for_each": for_each,
+    "no_terminal": no_terminal,
+    "custom_accumulator": custom_accumulator,
+    "memory_buffers": memory_buffers,
+    "custom_parser": custom_parser,
+    "custom_source": custom_source_query,
+    "listed_errors": listed_errors,
+    "parse_header_lines": parse_header_lines,
+    "parse_width": parse_width,
+    "stream_timeout": stream_timeout,
+    "stream_restart": stream_restart,
 }
 
 HOURS = "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2"
@@ -351,4 +565,27 @@ ORACLE_SQL: dict[str, str] = {
     "shuffle_error_skip": "SELECT count(*) AS n, o_custkey % 10 AS digit FROM orders WHERE o_custkey >= 100 GROUP BY 2",
     "custom_operation": "SELECT p_partkey, p_brand, regexp_extract(p_brand, '[0-9]+') AS digits FROM part",
     "stream_reduce": f"SELECT count(*) AS n, min(event_id) AS least, max(event_id) AS most FROM events GROUP BY event_id // {STREAM_BATCH}",
+    "group_partitions": "SELECT l_orderkey, count(*) AS n, CAST(1 AS BIGINT) AS partitions FROM lineitem GROUP BY 1",
+    "repartition_reduce_sizes": """WITH keys AS (SELECT count(DISTINCT l_partkey) AS n FROM lineitem)
+SELECT CAST(10 AS BIGINT) AS size, n // 10 AS chunks FROM keys WHERE n >= 10 UNION ALL SELECT n % 10, 1 FROM keys WHERE n % 10 > 0""",
+    "collect_chunks": """WITH regions AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1)
+SELECT n_regionkey, CAST(least(2, n - 2 * i) AS INTEGER) AS n, CAST(1 AS INTEGER) AS regions FROM (SELECT *, unnest(range(0, (n + 1) // 2)) AS i FROM regions)""",
+    "map_opaque": "SELECT l_orderkey, l_linenumber, lower(l_returnflag) AS flag, CAST(l_linenumber * 8 AS BIGINT) AS eighths FROM lineitem",
+    "flat_map_opaque": "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part",
+    "filter_opaque": "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 3",
+    "for_each": "SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem",
+    "no_terminal": """SELECT CAST(0 AS INTEGER) AS stage, count(DISTINCT o_custkey) AS n, true AS timed FROM orders
+UNION ALL SELECT 1, count(DISTINCT o_custkey), true FROM orders WHERE o_custkey > 50""",
+    "custom_accumulator": "SELECT p_name AS longest FROM part ORDER BY length(p_name) DESC, p_name LIMIT 1",
+    "memory_buffers": "SELECT n_nationkey AS key, n_name AS name FROM nation",
+    "custom_parser": "SELECT o_orderkey, o_custkey FROM orders",
+    "custom_source": "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1",
+    "listed_errors": """SELECT 'Map' AS phase, 'ValueError: odd' AS cause, count(*) AS n FROM orders WHERE o_orderkey % 2 = 1
+UNION ALL SELECT 'Reduction', 'ValueError: never', count(*) - count(DISTINCT o_orderstatus) FROM orders WHERE o_orderkey % 2 = 0""",
+    "parse_header_lines": "SELECT o_orderkey, o_orderpriority FROM orders",
+    "parse_width": """WITH cut AS (SELECT doc_id, substr(text, 1, 200) AS text FROM documents),
+fits AS (SELECT doc_id, max(CASE WHEN strlen(substr(text, 1, n)) <= 20 THEN n ELSE 0 END) AS n, any_value(text) AS text FROM (SELECT *, unnest(range(0, 21)) AS n FROM cut) GROUP BY doc_id)
+SELECT doc_id, CAST(strlen(substr(text, 1, n)) AS INTEGER) AS n_bytes, CAST(length(substr(text, 1, n)) AS INTEGER) AS n_chars FROM fits""",
+    "stream_timeout": "SELECT unnest([false, true]) AS available, count(*) AS n FROM region",
+    "stream_restart": "SELECT event_id FROM events",
 }

@@ -32,15 +32,17 @@ class Row:
 
     def get(self, name: str) -> Any:
         """The value; NilValueError if there is none."""
-        if name not in self.values:
-            raise SchemaError(f"column {name} does not exist")
-        value = self.values[name]
+        try:
+            value = self.values[name]
+        except KeyError:
+            raise SchemaError(f"column {name} does not exist") from None
         if value is None:
             raise NilValueError(name)
         return value
 
     def set(self, name: str, value: Any) -> None:
-        self.values[name] = self.schema.get_column(name).check(value)
+        kind = self.schema.columns.get(name) or self.schema.get_column(name)
+        self.values[name] = kind.check(value)
 
     def is_nil(self, name: str) -> bool:
         return self.values[name] is None

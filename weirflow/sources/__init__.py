@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import glob
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import SchemaError
+from ..operators import col
 from ..plans import Pipeline
 from ..schema import Schema
 from ..shipping import ship
 from .parsers import DSV, JSONL
 
-__all__ = ["DSV", "JSONL", "Parser", "file_source", "memory_source", "table_source"]
+__all__ = ["DSV", "JSONL", "Parser", "Source", "custom_source", "file_source", "memory_source", "table_source"]
 
 
 class Parser(Protocol):
-    """What a parser of the user's has to offer."""
+    """What a parser has to offer; ``DSV`` and ``JSONL`` are two, any object with these methods is one."""
 
     def read_buffers(self, buffers: DataFrame, schema: Schema) -> DataFrame:
         """A column ``buffer`` of bytes to the schema's columns."""
@@ -53,13 +54,23 @@ def memory_source(spark: SparkSession, buffers: Sequence[bytes | str], parser: P
     return Pipeline.of(parser.read_buffers(spark.createDataFrame(rows, "buffer binary"), schema), schema)
 
 
-def table_source(df: DataFrame, schema: Schema | None = None) -> Pipeline:
-    """Any DataFrame: Parquet, JDBC, a registered Python data source..."""
-    return Pipeline.of(df, schema)
+class Source(Protocol):
+    """What a source of the user's has to offer."""
+
+    def read(self, spark: SparkSession, parser: Parser | None, schema: Schema) -> DataFrame:
+        """The data as the schema's columns: from a reader of Spark's, a registered data source, or
+        buffers that the parser reads."""
 
 
-def expanded(pattern: str) -> list[str]:
-    """The local files of a pattern."""
-    return sorted(glob.glob(pattern))
+def custom_source(spark: SparkSession, source: Source, schema: Schema, parser: Parser | None = None) -> Pipeline:
+    """A pipeline over a source of the user's; its columns must be those of the schema, of their types."""
+    df = source.read(spark, parser, schema)
+    found, wanted = {f.name: f.dataType for f in df.schema}, {n: k.spark for n, k in schema}
+    if found != wanted:
+        raise SchemaError(f"the source has columns {found}, not {wanted}")
+    return Pipeline.of(df.select(*map(col, schema.columns)), schema)
 
 
+def table_source(df: DataFrame, schema: Schema | None = None) -> Pipeline:
+    """Any DataFrame: Parquet, JDBC, a registered Python data source..."""
+    return Pipeline.of(df, schema)

@@ -46,6 +46,7 @@ class DSV:
     comment: str | None = None
     nil_value: str = ""
     nil_as_zero: bool = False
+    multiline: bool = False
 
     def convert(self, name: str, kind: ColumnType, text: Column) -> Column:
         """A cell: nil if empty or ``nil_value``; an error if its type can't hold it."""
@@ -62,7 +63,7 @@ class DSV:
             number = text.try_cast(kind.spark)
             value = F.coalesce(number, _fail(name, kind, text).cast(kind.spark))
         elif n == "String":
-            value = F.substring(text, 1, kind.width)
+            value = _cut(text, kind.width)
         elif n == "Time":
             value = F.coalesce(F.try_to_timestamp(text, F.lit(spark_pattern(kind.layout))).cast("timestamp_ntz"), _fail(name, kind, text).cast("timestamp_ntz"))
         elif n == "VarString":
@@ -74,15 +75,25 @@ class DSV:
         return _nil(F.when(~nil, value), kind, self.nil_as_zero)
 
     def read_files(self, spark: SparkSession, paths: Sequence[str] | str, schema: Schema) -> DataFrame:
-        """Files that Spark splits and reads itself; with more than one header line each file is one task's."""
-        if self.header_lines > 1:
+        """Files that Spark splits: records stand on one line each, and one that goes on in the next
+        ends the run.  With ``multiline`` records may hold line ends, and each file is one task's."""
+        if self.multiline and self.header_lines > 1:
             files = spark.read.format("binaryFile").load(paths).select(F.col("content").alias("buffer"))
             return self.read_buffers(files, schema)
         cells = T.StructType([T.StructField(n, T.StringType()) for n in schema.columns])
-        options = {"sep": self.delimiter, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST", "nullValue": "", "emptyValue": "", "header": self.header_lines == 1, "enforceSchema": True}
+        options = {"sep": self.delimiter, "quote": '"', "escape": '"', "mode": "FAILFAST", "nullValue": "", "emptyValue": ""}
+        if self.multiline:
+            comment = {"comment": self.comment} if self.comment else {}
+            read = spark.read.schema(cells).options(**options, **comment, multiLine=True, header=self.header_lines == 1, enforceSchema=True)
+            return self._typed(read.csv(paths), schema)
+        line = F.regexp_replace("value", "\r$", "")
+        lines = file_lines(spark, paths, self.header_lines).where(line != "")
         if self.comment:
-            options["comment"] = self.comment
-        return self._typed(spark.read.schema(cells).options(**options).csv(paths), schema)
+            lines = lines.where(~col("value").startswith(self.comment))
+        quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+        whole = F.when(quotes % 2 == 0, line).otherwise(F.raise_error(F.concat(F.lit("a quote is open at the end of a line (is it a multiline file?): "), line)).cast("string"))
+        record = F.from_csv(whole, cells.simpleString(), options)
+        return self._typed(lines.select(record.alias("_record")).select("_record.*"), schema)
 
     def read_buffers(self, buffers: DataFrame, schema: Schema) -> DataFrame:
         """A column ``buffer`` of whole buffers (bytes), each read by one task."""
@@ -117,6 +128,13 @@ class DSV:
         return cells.select(*(self.convert(n, k, col(n)).alias(n, metadata=k.metadata()) for n, k in schema))
 
 
+def _cut(text: Column, width: int) -> Column:
+    """The longest beginning of whole characters that has at most ``width`` bytes."""
+    some = F.length(F.substring(F.encode(text, "UTF-8"), 1, width).cast("string"))  # the last of these may be a part
+    whole = F.when(F.octet_length(F.left(text, some)) <= width, some).otherwise(some - 1)
+    return F.when(F.octet_length(text) <= width, text).otherwise(F.left(text, whole))
+
+
 def _nil(value: Column, kind: ColumnType, as_zero: bool) -> Column:
     if not as_zero or kind.width is None:
         return value
@@ -151,7 +169,7 @@ class JSONL:
             out = F.coalesce(number != 0, ~text.isin("", "0", "false"), F.lit(False))
             out = F.when(text == "true", True).when(text == "false", False).otherwise(out)
         elif n == "String":
-            out = F.substring(F.try_variant_get(value, path, "string"), 1, kind.width)
+            out = _cut(F.try_variant_get(value, path, "string"), kind.width)
         elif n == "VarString":
             out = F.try_variant_get(value, path, "string")
         elif n == "Time":
@@ -171,15 +189,38 @@ class JSONL:
         return parsed.select(*(self.convert(n, k, F.col("_value")).alias(n, metadata=k.metadata()) for n, k in schema))
 
     def read_files(self, spark: SparkSession, paths: Sequence[str] | str, schema: Schema) -> DataFrame:
-        if self.header_lines:
-            whole = spark.read.text(paths, wholetext=True)
-            return self.parse(_lines(whole, "value", self.header_lines), schema)
-        return self.parse(spark.read.text(paths, lineSep="\n"), schema)
+        return self.parse(file_lines(spark, paths, self.header_lines), schema)
 
     def read_buffers(self, buffers: DataFrame, schema: Schema) -> DataFrame:
         return self.parse(_lines(buffers.select(F.decode("buffer", "UTF-8").alias("value")), "value", self.header_lines), schema)
 
 
+def file_lines(spark: SparkSession, paths: Sequence[str] | str, skip: int) -> DataFrame:
+    """The lines (column value) of files, without the first ``skip`` of each; Spark splits the files.
+
+    The lines to skip stand at the beginning of a file's first block, which a task reads in
+    order; they must lie in that block.
+    """
+    lines = spark.read.text(paths, lineSep="\n")
+    if not skip:
+        return lines
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, seen = None, 0
+        for batch in batches:
+            values, keep = batch.column(0), []
+            for path, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if path != file:
+                    file, seen = path, 0
+                keep.append(start > 0 or seen >= skip)
+                seen += 1
+            yield pa.RecordBatch.from_arrays([values.filter(pa.array(keep))], names=["value"])
+
+    placed = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    return placed.mapInArrow(run, "value string")
+
+
 def _wrapped(value: Column, kind: ColumnType) -> Column:
     """An integer narrowed to the type's width, wrapping around."""
     if kind.width == 8:

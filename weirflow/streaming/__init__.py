@@ -5,17 +5,20 @@ Nothing is carried from batch to batch: a reduction sees the records of its own
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..errors import StreamTimeout
 from ..operators import Collect
 from ..plans import Pipeline, RunOptions
 from ..schema import Schema
-from ..shipping import ship
+from ..shipping import shared_root, ship
 
 Generator = Callable[[int], str]
 
@@ -25,18 +28,21 @@ class _Span(InputPartition):
         self.generator, self.start, self.end = generator, start, end
 
 
-def generator_source(spark: SparkSession, generators: Sequence[Generator], batch_size: int, limit: int | None = None, name: str = "generators") -> DataFrame:
+def generator_source(spark: SparkSession, generators: Sequence[Generator], batch_size: int, limit: int | None = None, name: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """A stream of lines (column value): each batch takes ``batch_size`` records of each generator.
 
     A generator is a function of the record's number, so a lost task can be run again.
-    ``limit``: batches after which the stream has no more records.
+    ``limit``: batches after which the stream has no more records.  ``checkpoint``: the folder of
+    an earlier run, after whose records the stream goes on.  Sources without a ``name`` get one
+    of their own.
     """
     ship(spark)
-    made, size, most = list(generators), batch_size, limit
+    made, size, most, name = list(generators), batch_size, limit, name or f"generators_{uuid.uuid4().hex}"
+    planned = _planned(spark, checkpoint) if checkpoint else 0
 
     class Reader(DataSourceStreamReader):
         def __init__(self) -> None:
-            self.at = 0
+            self.at = planned
 
         def initialOffset(self) -> dict:
             return {"record": 0}
@@ -71,16 +77,28 @@ def generator_source(spark: SparkSession, generators: Sequence[Generator], batch
     return spark.readStream.format(name).load()
 
 
+def _planned(spark: SparkSession, checkpoint: str) -> int:
+    """The record up to which the runs with this checkpoint have planned their batches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/offsets")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return 0
+    last = spark.read.text(f"{checkpoint}/offsets").where(F.col("value").startswith('{"record"'))
+    found = last.agg(F.max(F.get_json_object("value", "$.record").cast("long"))).first()[0]
+    return found or 0
+
+
 def stream_pipeline(lines: DataFrame, parser, schema: Schema) -> Pipeline:
     """A pipeline over a stream of lines."""
     return Pipeline.of(parser.parse(lines, schema), schema)
 
 
-def run_stream(pipeline: Pipeline, sink: Callable[[DataFrame, int], None], timeout: float | None = None, options: RunOptions | None = None, available: bool = False) -> None:
+def run_stream(pipeline: Pipeline, sink: Callable[[DataFrame, int], None], timeout: float | None = None, options: RunOptions | None = None, available: bool = False, checkpoint: str | None = None) -> None:
     """Run the pipeline's operations on each micro-batch and hand its result to ``sink``.
 
-    Ends when the source has no more records (``available``), else with StreamTimeout after
-    ``timeout`` seconds.
+    Ends when the source has no more records (``available``), or with StreamTimeout after
+    ``timeout`` seconds.  ``checkpoint``: a folder that driver and executors share; a later run
+    with the same one goes on after the batches that this one has finished.  By default a new
+    folder below ``spark.checkpoint.dir``.
     """
     if any(isinstance(op, Collect) for op in pipeline.operations):
         raise ValueError("a stream can't be collected")
@@ -88,13 +106,20 @@ def run_stream(pipeline: Pipeline, sink: Callable[[DataFrame, int], None], timeo
     def batch(df: DataFrame, number: int) -> None:
         sink(pipeline.dataframe(options, source=df), number)
 
-    query = pipeline.source.writeStream.foreachBatch(batch).start()
-    began = time.time()
-    try:
-        if available:
+    checkpoint = checkpoint or f"{shared_root(pipeline.source.sparkSession)}/weirflow-stream-{uuid.uuid4().hex}"
+    query = pipeline.source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).start()
+    began, done = time.time(), threading.Event()
+
+    def wait() -> None:
+        try:
             query.processAllAvailable()
-            return
-        while query.isActive:
+        finally:
+            done.set()
+
+    if available:
+        threading.Thread(target=wait, daemon=True).start()
+    try:
+        while query.isActive and not done.is_set():
             if timeout is not None and time.time() - began >= timeout:
                 raise StreamTimeout(f"stopped after {timeout} seconds")
             query.awaitTermination(0.2)

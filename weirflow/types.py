@@ -37,6 +37,8 @@ class ColumnType:
         if value is None:
             return None
         if self.low is not None:
+            if type(value) is int and self.low <= value <= self.high:
+                return value
             if isinstance(value, bool) or not isinstance(value, int) and not (hasattr(value, "as_integer_ratio") and value == int(value)):
                 raise ValueError(f"{value!r} is no integer for {self.name}")
             if not self.low <= value <= self.high:
