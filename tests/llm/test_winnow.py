@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 
 from weirflow.llm import winnow as w
 
@@ -19,7 +21,7 @@ def test_choices_are_the_rightmost_least():
         want = {}
         for i in range(max(1, len(h) - window + 1)):
             span = range(i, min(i + window, len(h)))
-            at = min(span, key=lambda p: (h[p], -p))
+            at = min(span, key=lambda p: (h[p] >> 16, -p))
             want[at] = h[at]
         got = w.winnow(text, k, window)
         assert dict(zip(got[1].tolist(), got[0].tolist(), strict=True)) == want
@@ -40,8 +42,14 @@ def test_likeness():
     assert w.likeness(none, none) == 1 and w.likeness(none, some) == 0 and w.likeness(some, some) == 1
 
 
+def mark(text):
+    """The hash that orders rows of one id."""
+    h = xxhash.xxh64_intdigest((text or "").encode(), seed=42)
+    return h - (h >> 63 << 64)
+
+
 def brute(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), mark(r[1]), r[1] or ""))
     out = []
     for i, (doc_id, text) in enumerate(rows):
         text, following = text or "", rows[(i + 1) % len(rows)][1] or ""
@@ -66,3 +74,27 @@ def test_last_third_of_a_near_text(spark):
     rows = [(i, " ".join(str(rng.randint(0, 10**6)) for _ in range(200))) for i in range(20)]
     for r in w.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         assert r.near_edited > 0.55 and r.near_next < 0.1
+
+
+def test_pieces_of_long_texts_meet():
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcde") for _ in range(3000)) + "z" * 500
+    whole = w.winnow(text)
+    h = [int(w.winnow(text[i : i + w.K], w.K, 1)[0][0]) for i in range(len(text) - w.K + 1)]
+    want = sorted({min(range(i, i + w.WINDOW), key=lambda p: (h[p] >> 16, -p)) for i in range(len(h) - w.WINDOW + 1)})
+    assert whole[1].tolist() == want and whole[0].tolist() == [h[p] for p in want]
+    long = "some words of a text " * 30_000  # ten pieces
+    h, at = w.winnow(long)
+    assert (np.diff(at) > 0).all() and (np.diff(at) <= w.WINDOW).all() and at[-1] >= len(long) - w.K - w.WINDOW
+    part = w.winnow(long[210_000:])
+    assert set(zip(part[0].tolist(), (part[1] + 210_000).tolist(), strict=True)) - set(zip(h.tolist(), at.tolist(), strict=True)) <= {(a, b + 210_000) for a, b in zip(part[0][:2].tolist(), part[1][:2].tolist(), strict=True)}
+
+
+def test_common_ids_have_several_ranges(spark):
+    rows = [(7 if i % 3 else None if i % 2 else i, f"text {i} of many rows with one id, long enough") for i in range(600)] + [(-(1 << 63), "least"), ((1 << 63) - 1, "most"), (-(1 << 63), "least again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    placed = w.in_descending_ranges(df, 24)
+    sizes = {r.part: r.n for r in placed.where("lead = 0").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) < 100
+    assert placed.where("lead = 1").groupBy("part").count().where("count > 1").count() == 0
+    assert sorted(str(tuple(r)) for r in w.fingerprint_documents(df).collect()) == brute(rows)
