@@ -4,9 +4,10 @@ A text is normalised (lower case, letters and digits, single spaces) with marks
 may begin or end: full stops and blank lines, which no sentence goes over, and single line ends,
 colons and semicolons, which a sentence may hold inside, as wrapped licence texts do.  What
 stands between two marks and is a known licence sentence gives its identifier; of two that begin
-at one mark, the longer.  The identifiers of a
+at one mark, the longer.  A holder's name within a sentence is left open.  The identifiers of a
 document, in order, are then matched against the licence rules: sequences of identifiers, tried
 in their order; what a rule matched is used up, so a longer rule hides the shorter ones in it.
+Between the sentences of a sequence any text may stand that holds no known sentence.
 
 ``SENTENCES`` and ``RULES`` are the one-line forms, those of the query's SQL; ``PUBLISHED`` and
 ``PUBLISHED_RULES`` are the licences' own wording.  SQL cuts at every line end and knows the
@@ -14,7 +15,9 @@ former only, so the two agree on texts whose known sentences stand on one line e
 
 Defined results: a null text has no sentences; a document without known sentences has the
 licence 'none', one whose sentences make up no rule 'unknown'; licences are listed in the order
-of the rules.  Whole texts are scanned; rows are independent, so nothing is shuffled.
+of the rules.  Whole texts are scanned; rows are independent, so nothing is shuffled, repeated
+rows have equal results and an empty table an empty one.  Columns other than text and those kept
+are not read; kept ones may have any name but sentence_ids and license.
 """
 
 from __future__ import annotations
@@ -81,19 +84,84 @@ PUBLISHED = {
     f"{_GPL_FREE} as published by the free software foundation version 2": "GPLFree2",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPLHope",
 }
+# More licences by their own wording.  A star is a holder's name of up to twelve words.
+PUBLISHED |= {
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDName",
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission of *": "BSDName",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCPerm",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCPerm",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ISCAsIs",
+    "this source code form is subject to the terms of the mozilla public license v": "MPLForm",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "MPLCopy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "MPLCopy",
+    "mozilla public license version 2 0": "MPLTitle",
+    "this is free and unencumbered software released into the public domain": "Unlicense",
+    "distributed under the boost software license version 1 0": "Boost",
+    "boost software license version 1 0 august 17th 2003": "Boost",
+    "this software is provided as is without any express or implied warranty": "ZlibAsIs",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibPerm",
+    "gnu lesser general public license version 3 29 june 2007": "LGPL3",
+    "gnu lesser general public license version 2 1 february 1999": "LGPL2.1",
+    "gnu affero general public license version 3 19 november 2007": "AGPL3",
+}
+
+
+def _gnu_notices(short: str, name: str, program: str, versions: tuple[str, ...]) -> dict[str, str]:
+    """The notices of a GNU licence, of a version only or of it and later ones."""
+    free = f"this {program} is free software you can redistribute it and or modify it under the terms of the gnu {name} general public license"
+    by = "as published by the free software foundation"
+    number = {v: v.replace(".", " ") for v in versions}
+    return {t: f"{short}Free{v}" for v in versions for t in (f"{free} {by} either version {number[v]} {_GPL_LATER}", f"{free} version {number[v]} {by}", f"{free} {by} version {number[v]}")}
+
+
+PUBLISHED |= _gnu_notices("LGPL", "lesser", "library", ("2.1", "3")) | _gnu_notices("LGPL", "lesser", "program", ("2.1", "3")) | _gnu_notices("AGPL", "affero", "program", ("3",))
+PUBLISHED["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"] = "GPLHope"
+# Identifiers of the public list of licences that a file may name, and the licence here.
+NAMED = {
+    "Apache-2.0": "Apache-2.0", "MIT": "MIT", "ISC": "ISC", "MPL-2.0": "MPL-2.0", "Unlicense": "Unlicense", "BSL-1.0": "BSL-1.0", "Zlib": "Zlib",
+    "BSD-2-Clause": "BSD", "BSD-3-Clause": "BSD-3-Clause",
+    "GPL-2.0": "GPL-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "GPL-3.0": "GPL-3.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0",
+    "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0",
+    "CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0",
+}
+PUBLISHED |= {"spdx license identifier " + n.lower().replace("-", " ").replace(".", " "): f"Named{n}" for n in NAMED}
 #: Tried before the rules of the same licence; their identifiers come from ``PUBLISHED``.
 PUBLISHED_RULES = (
+    ("BSD-3-Clause", ("AllRights", "BSDUse", "BSDSourceText", "BSDBinaryText", "BSDName")),
+    ("BSD-3-Clause", ("BSDUse", "BSDSourceText", "BSDBinaryText", "BSDName")),
     ("BSD", ("AllRights", "BSDUse", "BSDSourceText", "BSDBinaryText")),
     ("BSD", ("BSDUse", "BSDSourceText", "BSDBinaryText")),
     ("GPL-3.0", ("GPLFree3", "GPLHope")),
     ("GPL-3.0", ("GPLFree3",)),
     ("GPL-2.0", ("GPLFree2", "GPLHope")),
     ("GPL-2.0", ("GPLFree2",)),
+    ("LGPL-3.0", ("LGPLFree3", "GPLHope")),
+    ("LGPL-3.0", ("LGPLFree3",)),
+    ("LGPL-3.0", ("LGPL3",)),
+    ("LGPL-2.1", ("LGPLFree2.1", "GPLHope")),
+    ("LGPL-2.1", ("LGPLFree2.1",)),
+    ("LGPL-2.1", ("LGPL2.1",)),
+    ("AGPL-3.0", ("AGPLFree3", "GPLHope")),
+    ("AGPL-3.0", ("AGPLFree3",)),
+    ("AGPL-3.0", ("AGPL3",)),
+    ("ISC", ("ISCPerm", "ISCAsIs")),
+    ("ISC", ("ISCPerm",)),
+    ("MPL-2.0", ("MPLForm", "MPLCopy")),
+    ("MPL-2.0", ("MPLForm",)),
+    ("MPL-2.0", ("MPLTitle",)),
+    ("Unlicense", ("Unlicense",)),
+    ("BSL-1.0", ("Boost",)),
+    ("Zlib", ("ZlibAsIs", "ZlibPerm")),
+    *((licence, (f"Named{n}",)) for n, licence in NAMED.items()),
+)
+_OWN = [name for name, _ in RULES]
+#: The rules of licences that ``RULES`` does not have, then those of each licence in the order of ``RULES``.
+ALL_RULES = (
+    *(p for p in PUBLISHED_RULES if p[0] not in _OWN),
+    *(r for k, rule in enumerate(RULES) for r in (*(p for p in PUBLISHED_RULES if p[0] == rule[0] and rule[0] not in _OWN[:k]), rule)),
 )
-#: In the order of ``RULES``.
-ALL_RULES = tuple(r for k, rule in enumerate(RULES) for r in (*(p for p in PUBLISHED_RULES if p[0] == rule[0] and rule[0] not in [n for n, _ in RULES[:k]]), rule))
 #: Every known sentence holds one of these.
-KEYWORDS = "licen|permi|warrant|redistribut|copyright|rights"
+KEYWORDS = "licen|permi|warrant|redistribut|copyright|rights|public domain|copy of the mpl"
 #: Steps of normalising in order: a full stop or blank line becomes ``|``, a colon, semicolon or
 #: line end ``/``, other characters a space, and neighbouring marks one (``|`` if any is).
 STEPS = (
@@ -113,24 +181,36 @@ def sentence_ids(text: Column) -> Column:
     marked = F.concat(F.lit("\n\n"), F.translate(low, "|/", "--"), F.lit("\n\n"))
     for pattern, mark in STEPS:
         marked = F.regexp_replace(marked, pattern, mark)
-    either = "|".join(s.replace(" ", "[ /]") for s in sorted(sentences, key=len, reverse=True))
+    # a name's words end at a mark of the sentence or go over line ends, not over full stops
+    name = r"[a-z0-9]+(?:[ /][a-z0-9]+){0,11}"
+    spread = {t: t.replace(" ", "[ /]").replace("*", name) for t in sentences}
+    either = "|".join(spread[t] for t in sorted(sentences, key=len, reverse=True))
     found = F.regexp_extract_all(marked, F.lit(f"(?<=[|/])(?:{either})(?=[|/])"), F.lit(0))
-    ids = F.transform(found, lambda s: known[F.translate(s, "/", " ")])
+
+    def known_as(sentence: Column) -> Column:
+        plain = F.translate(sentence, "/", " ")
+        for t in sorted((t for t in sentences if "*" in t), key=len):
+            plain = F.regexp_replace(plain, "^" + t.replace("*", f"(?:{name.replace('[ /]', ' ')})") + "$", t)
+        return known[plain]
+
+    ids = F.transform(found, known_as)
     return F.when(low.rlike(KEYWORDS), ids).otherwise(F.array().cast("array<string>"))
 
 
 def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Every row of ``docs`` with sentence_ids (comma-separated) and license."""
-    found = docs.select(*keep, sentence_ids(F.col("text")).alias("_ids"))
-    joined = F.concat(F.lit(";"), F.array_join(F.transform("_ids", lambda x: F.concat(x, F.lit(";"))), ";"))
+    own = "_" * (1 + max((len(k) - len(k.lstrip("_")) for k in keep), default=0))  # begins no kept column's name
+    ids, left = f"{own}ids", f"{own}rest"
+    found = docs.select(*keep, sentence_ids(F.col("text")).alias(ids))
+    joined = F.concat(F.lit(";"), F.array_join(F.transform(ids, lambda x: F.concat(x, F.lit(";"))), ";"))
     names: list[Column] = []
     # each identifier stands between two marks of its own, so neighbours can be used up one by one
-    rest = F.when(F.size("_ids") > 0, joined).otherwise(F.lit(""))
-    out = found.withColumn("_rest", rest)
-    for k, (name, ids) in enumerate(ALL_RULES):
-        wanted = "".join(f";{i};" for i in ids)
-        out = out.withColumn(f"_r{k}", F.col("_rest").contains(wanted)).withColumn("_rest", F.replace("_rest", F.lit(wanted), F.lit("#")))
-        names.append(F.when(F.col(f"_r{k}"), F.lit(name)))
+    rest = F.when(F.size(ids) > 0, joined).otherwise(F.lit(""))
+    out = found.withColumn(left, rest)
+    for k, (name, sequence) in enumerate(ALL_RULES):
+        wanted = "".join(f";{i};" for i in sequence)
+        out = out.withColumn(f"{own}r{k}", F.col(left).contains(wanted)).withColumn(left, F.replace(left, F.lit(wanted), F.lit("#")))
+        names.append(F.when(F.col(f"{own}r{k}"), F.lit(name)))
     licences = F.array_join(F.array_distinct(F.filter(F.array(*names), lambda x: x.isNotNull())), ",")
-    verdict = F.when(licences != "", licences).when(F.size("_ids") > 0, F.lit("unknown")).otherwise(F.lit("none"))
-    return out.select(*keep, F.array_join("_ids", ",").alias("sentence_ids"), verdict.alias("license"))
+    verdict = F.when(licences != "", licences).when(F.size(ids) > 0, F.lit("unknown")).otherwise(F.lit("none"))
+    return out.select(*keep, F.array_join(ids, ",").alias("sentence_ids"), verdict.alias("license"))
