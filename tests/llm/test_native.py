@@ -1,6 +1,8 @@
 """The operators in DataFrame functions: licences, mixing and URL rules."""
 
+import hashlib
 import random
+import re
 from collections import defaultdict
 from fractions import Fraction
 
@@ -56,6 +58,68 @@ def test_water_filling(spark):
         assert all(abs(t - want[s]) < 1e-6 for s, (_, t) in got.items())
 
 
+def plain_mix(rows, seed=7):
+    """How often each of ``rows`` (doc_id, text, source) is taken, by the definition: all documents of
+    a source in the order of slot and draw; one is taken if at least half of it is wanted."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+
+    def draw(doc_id, text):
+        inner = hashlib.md5((text or "").encode()).hexdigest()
+        return int(hashlib.md5(f"{seed}|{'' if doc_id is None else doc_id}|{inner}".encode()).hexdigest()[:15], 16)
+
+    draws = [draw(i, t) for i, t, _ in rows]
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    total = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in sources}
+    targets = fill(total, {s: i % 3 + 1 for i, s in enumerate(sources)}, sum(total.values()))
+    out = [0] * len(rows)
+    for s in sources:
+        if not total[s]:
+            continue
+        whole, part = divmod(targets[s], total[s])
+        groups = {}
+        for i, r in enumerate(rows):
+            if r[2] == s:
+                out[i] = int(whole)
+                if size[i]:
+                    groups.setdefault((draws[i] % 4096, draws[i]), []).append(i)
+        slots = {}
+        for (slot, _), g in groups.items():
+            slots[slot] = slots.get(slot, 0) + sum(size[i] for i in g)
+        done = 0
+        for slot in sorted(slots) if part else ():
+            inside, running = done + slots[slot] >= part, done
+            for key in sorted(k for k in groups if k[0] == slot):
+                running += sum(size[i] for i in groups[key])
+                if not inside or any(running - Fraction(size[i], 2) <= part for i in groups[key]):
+                    for i in groups[key]:
+                        out[i] += 1
+            done += slots[slot]
+            if inside:
+                break
+    return out
+
+
+def test_mixing_by_the_definition(spark, awkward, monkeypatch):
+    rng = random.Random(12)
+    for n, slots in ((7, 4096), (400, 4096), (3000, 4096)):
+        rows = [(rng.choice([None, i, i, i]), rng.choice([None, "", " ".join(["w"] * rng.randint(1, 40)), f"w {i}"]), rng.choice(["a", "b", "é", None, f"s{i % 20}"])) for i in range(n)]
+        rows += rows[:5] * 3
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=("text",)).collect()
+        want = plain_mix(rows)
+        assert sorted(str((r.doc_id, r.text, r.source, r.times)) for r in got) == sorted(str((*r, t)) for r, t in zip(rows, want, strict=True))
+
+
+def test_mixing_sorts_a_part_of_a_slot(spark, monkeypatch):
+    """Many documents in one slot: the border is found among its parts."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 9)), rng.choice("ab")) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    every = mixing.mix(df).groupBy("source").agg(F.sum(F.col("times") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect()
+    monkeypatch.setattr(mixing, "SLOTS", 4)
+    few = mixing.mix(df).groupBy("source").agg(F.sum(F.col("times") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect()
+    assert len(few) == 2 and all(abs(r.taken - r.target) <= 5 for r in [*every, *few])
+
+
 def test_mixing(spark, awkward, empty):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "b", "é", None]) if i % 50 else "rare") for i in range(2000)]
@@ -220,3 +284,71 @@ def test_padded_licence_sentences(spark):
     texts = [f"/{p} Licensed under the{p}Apache License, Version 2.0 {p}/" for p in pads]
     got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {(r.sentence_ids, r.license) for r in got} == {("ApacheLic", "Apache-2.0")}
+
+
+MORE_TEXTS = {
+    "BSD-3-Clause": PUBLISHED_TEXTS["BSD"].split("THIS SOFTWARE")[0]
+    + """3. Neither the name of the University of Somewhere, Anytown, nor the names of
+   its contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.""",
+    "ISC": """Copyright (c) 2020, The Authors
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Apache-2.0": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.""",
+}
+
+
+def test_more_published_licence_texts(spark):
+    comment = lambda mark: lambda t: "x = 1\n" + "\n".join(f"{mark} {line}".rstrip() for line in t.split("\n")) + "\ny = 2"
+    texts = [(name, wrap(text)) for name, text in MORE_TEXTS.items() for wrap in (str, comment("#"), comment("//"), comment(" *"), comment("--"), lambda t: "<!--\n" + t + "\n-->")]
+    texts += [(licence, f"// SPDX-License-Identifier: {n}\nint main();") for n, licence in licenses.NAMED.items()]
+    texts += [("none", "Neither the name of the rose nor the names of its contributors."), ("unknown", "You may obtain a copy of the License at\n\nsomewhere")]
+    got = licenses.scan_licenses(spark.createDataFrame(texts, "_ids string, text string"), keep=("_ids", "text")).collect()
+    assert [(r[0], r.license, r.sentence_ids) for r in got if r[0] != r.license] == [] and len(got) == len(texts)

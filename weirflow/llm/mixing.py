@@ -9,11 +9,15 @@ A source is then read ``target / size`` times: every document as often as the wh
 and once more for the documents that come first in a seeded order until the fractional part of
 the target is filled.  The order is by a seeded hash.  It is not sorted as a whole: sizes are
 summed by source and slot of the hash, the running sum over ``SLOTS`` slots finds the one in
-which the target is reached, and only the documents of that slot are sorted.
+which the target is reached; that slot's documents are summed by ``SLOTS`` parts of their hash
+in the same way, and only those of one part, one of ``SLOTS`` times ``SLOTS`` of a source, are
+sorted.  The sources themselves are ranked in one task: a row each.
 
 Defined results: a null text has size 0, a null source is a source of its own and comes last; a
 source of size 0 has target 0 and its documents are not taken; rows equal in id and text are
-taken equally often, together; an empty table gives an empty result.
+taken equally often, together, so a source can miss its target by half of such a group; an empty
+table gives an empty result.  Columns other than id, source, text and those kept are not read;
+kept ones may have any name but size, source_size, target and times and those that begin with _.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import WORD, stored
+from ._common import WORD, scratch, stored, written
 
 MAX_EPOCHS = 3
+#: Slots of a source, by the lowest bits of a document's number, and parts of a slot, by the highest.
 SLOTS = 4096
+DRAW_BITS = 60
 
 
 def word_count(text: Column) -> Column:
@@ -72,33 +78,46 @@ def mix(docs: DataFrame, key: str = "doc_id", seed: int = 7, max_epochs: int = M
     """
     columns = list(dict.fromkeys([key, "source", *keep]))
     rows = docs.select(*columns, word_count(F.col("text")).alias("size"), draw(F.col(key), F.col("text"), seed).alias("_draw"))
-    if set(keep) <= {key, "source"}:
-        rows = sized = stored(rows, "sizes")
-    else:
-        sized = stored(rows.select("source", "size", "_draw"), "sizes")
     same = F.col("source").eqNullSafe(F.col("_source"))
     slot = F.pmod(F.col("_draw"), F.lit(SLOTS)).cast("int")
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    targets = water_fill(cycled_weights(sizes), max_epochs).withColumn("_whole", whole)
-    targets = targets.select(F.col("source").alias("_source"), "source_size", "target", "_whole", (F.col("target") - F.col("_whole") * F.col("source_size")).alias("_part"))
-    targets = stored(targets, "targets")
-    # the slot in which the part is filled, by source, and what is still wanted there
-    slots = sized.groupBy("source", slot.alias("_slot")).agg(F.sum("size").alias("_slot_size"))
-    upto = F.sum("_slot_size").over(W.partitionBy("source").orderBy("_slot"))
-    slots = slots.withColumn("_upto", upto).join(targets.select("_source", "_part"), same).where("_upto >= _part and _part > 0")
-    border = slots.groupBy("_source").agg(F.min(F.struct("_slot", (F.col("_part") - F.col("_upto") + F.col("_slot_size")).alias("_want"))).alias("_border"))
-    border = stored(border.select("_source", "_border._slot", "_border._want"), "border")
-    # in that slot documents follow in the order of their draw; one is taken if at least half of it is wanted
-    there = sized.join(border, same & (slot == F.col("_slot"))).where("size > 0")
-    running = F.sum("size").over(W.partitionBy("_source").orderBy("_draw"))
-    last = there.withColumn("_running", running).where(F.col("_running") - F.col("size") / 2 <= F.col("_want")).groupBy("_source").agg(F.max("_draw").alias("_last"))
-    border = border.withColumnRenamed("_source", "_b").join(last.withColumnRenamed("_source", "_l"), F.col("_b").eqNullSafe(F.col("_l")), "left")
-    plan = targets.join(border.select("_b", "_slot", "_last"), F.col("_source").eqNullSafe(F.col("_b")), "left")
-    # a table of its own: its size is then known when it is joined, and a skewed join can be split
-    plan = stored(plan.select("_source", "source_size", "target", "_whole", "_slot", "_last"), "plan")
+    part = F.shiftright("_draw", DRAW_BITS - SLOTS.bit_length() + 1).cast("int")
+    with scratch() as keep_table:
+        if set(keep) <= {key, "source"}:
+            held = written(rows, "sizes")
+            rows = sized = held.frame
+            keep_table(held)
+        else:
+            sized = stored(rows.select("source", "size", "_draw"), "sizes")
+        sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+        whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+        targets = water_fill(cycled_weights(sizes), max_epochs).withColumn("_whole", whole)
+        targets = targets.select(F.col("source").alias("_source"), "source_size", "target", "_whole", (F.col("target") - F.col("_whole") * F.col("source_size")).alias("_part"))
+        targets = stored(targets, "targets")
+        # the slot in which the part is filled, by source, and what is still wanted there
+        slots = sized.groupBy("source", slot.alias("_slot")).agg(F.sum("size").alias("_slot_size"))
+        upto = F.sum("_slot_size").over(W.partitionBy("source").orderBy("_slot"))
+        slots = slots.withColumn("_upto", upto).join(targets.select("_source", "_part"), same).where("_upto >= _part and _part > 0")
+        border = slots.groupBy("_source").agg(F.min(F.struct("_slot", (F.col("_part") - F.col("_upto") + F.col("_slot_size")).alias("_want"))).alias("_border"))
+        border = stored(border.select("_source", "_border._slot", "_border._want"), "border")
+        # documents follow in the order of their draw, and one is taken if at least half of it is
+        # wanted: all of the parts that are wanted whole, and some of the first that is not
+        there = stored(sized.join(border, same & (slot == F.col("_slot"))).where("size > 0").select("_source", "_want", "size", "_draw", part.alias("_at")), "there")
+        parts = there.groupBy("_source", "_want", "_at").agg(F.sum("size").alias("_size"), F.max("_draw").alias("_most"))
+        parts = parts.withColumn("_upto", F.sum("_size").over(W.partitionBy("_source").orderBy("_at")))
+        before = parts.where("_upto < _want").groupBy("_source").agg(F.max("_most").alias("_last"))
+        first = parts.where("_upto >= _want").groupBy("_source").agg(F.min(F.struct("_at", (F.col("_want") - F.col("_upto") + F.col("_size")).alias("_rest"))).alias("_first"))
+        first = first.select(F.col("_source").alias("_f"), F.col("_first._at").alias("_first_at"), "_first._rest")
+        within = there.join(first, F.col("_source").eqNullSafe(F.col("_f")) & (F.col("_at") == F.col("_first_at")))
+        running = F.sum("size").over(W.partitionBy("_source").orderBy("_draw"))
+        within = within.withColumn("_running", running).where(F.col("_running") - F.col("size") / 2 <= F.col("_rest")).groupBy("_source").agg(F.max("_draw").alias("_last"))
+        last = before.unionByName(within).groupBy("_source").agg(F.max("_last").alias("_last"))
+        border = border.withColumnRenamed("_source", "_b").join(last.withColumnRenamed("_source", "_l"), F.col("_b").eqNullSafe(F.col("_l")), "left")
+        plan = targets.join(border.select("_b", "_slot", "_last"), F.col("_source").eqNullSafe(F.col("_b")), "left")
+        # a table of its own: its size is then known when it is joined, and a skewed join can be split
+        plan = written(plan.select("_source", "source_size", "target", "_whole", "_slot", "_last"), "plan")
+        keep_table(plan)
     more = F.coalesce((slot < F.col("_slot")) | ((slot == F.col("_slot")) & (F.col("_draw") <= F.col("_last"))), F.lit(False)) & (F.col("size") > 0)
-    placed = rows.join(plan, same, "left")
+    placed = rows.join(plan.frame, same, "left")
     return placed.select(*columns, "size", "source_size", "target", (F.col("_whole") + more.cast("long")).alias("times"))
 
 
