@@ -129,12 +129,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Generations(dict):
+    """A memo in two generations of at most ``bound`` entries each; ``make`` gives what is in neither.
+
+    A full one becomes the old one; what is found there again moves to the new one.  So frequent
+    entries stay while rare ones go.
+    """
+
+    def __init__(self, bound: int):
+        super().__init__()
+        self.bound, self.old = bound, {}
+
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """At most ``limit`` labelled documents as (doc_id, text, label).
+    """At most ``limit`` rows (doc_id, text, label): labelled documents, one row for each id.
 
-    The rows of ``labels`` with the least hash of their id are taken, so the choice does not
-    depend on how the table is stored.  The chosen ids are ``limit`` rows of two numbers, which
-    bounds what is broadcast.
+    The rows of ``labels`` with the least hash of their id are taken, and of an id's documents the
+    one whose text has the least hash, so the choice does not depend on how the tables are stored.
+    The chosen ids are ``limit`` rows of two numbers, which bounds what is broadcast.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -143,4 +165,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")

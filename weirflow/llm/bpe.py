@@ -24,7 +24,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import map_rows
+from ._common import Generations, map_rows
 
 #: Entries in a generation of a worker's memo of pieces; that of pairs has as many.
 MEMO = 200_000
@@ -109,28 +109,6 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-class _Generations(dict):
-    """A memo in two generations of at most ``bound`` entries each.
-
-    A full one becomes the old one; what is found there again moves to the new one.  So frequent
-    entries stay while rare ones go.
-    """
-
-    def __init__(self, bound: int):
-        super().__init__()
-        self.bound, self.old = bound, {}
-
-    def __missing__(self, key):
-        out = self.old.get(key)
-        if out is None:
-            out = self.make(key)
-        if len(self) >= self.bound:
-            self.old = dict(self)
-            self.clear()
-        self[key] = out
-        return out
-
-
 class _Shorter(dict):
     """Token to the longest token that is a proper prefix of it, or None."""
 
@@ -145,7 +123,7 @@ class _Shorter(dict):
         return out
 
 
-class _Pairs(_Generations):
+class _Pairs(Generations):
     """Whether two tokens stay as they are side by side; the key is the first's rank * SHIFT + the second's.
 
     The merges that made the two are undone from the latest.  Before a merge of rank ``limit``
@@ -195,7 +173,7 @@ class _Pairs(_Generations):
                 limit, b = b + 1, right[0]
 
 
-class _Memo(_Generations):
+class _Memo(Generations):
     """Piece to the bytes of its ids."""
 
     def __init__(self, encode: Callable[[bytes], list[int]], bound: int):

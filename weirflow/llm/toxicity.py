@@ -5,13 +5,20 @@ often each is found.  One
 weight vector is shared by all thresholds: P(grade <= j) = sigmoid(threshold_j - w.x) with
 ordered thresholds, and the expected severity is the sum of P(grade > j).
 
-The labels say toxic or not; the grade of a labelled document is 0 if it is not toxic, else
-1 to ``GRADES`` - 1 by how many distinct strongly toxic features it holds.  The candidate
-features are counted and selected with Spark on at most ``LABELLED_DOCS`` labelled rows (a
-parameter); at most ``MAX_FEATURES`` of them reach the driver.
+The labels say toxic or not, so the grades come from what the labels leave to be learned: two
+models are fitted on one half of the sample each, and the toxic documents of the other half are
+ranked by their scores there.  A document that is not toxic has grade 0; the toxic ones of each half, by
+rank in equal parts, 1 to ``GRADES`` - 1.  The ordinal model is then fitted on all.
+
+Candidate features are counted and selected with Spark on at most ``LABELLED_DOCS`` labelled
+rows, one for each id: those that ``LEAST_DOCS`` toxic documents hold at least and that speak for
+toxicity; ``MAX_FEATURES`` of them reach the driver.  These are parameters of the model, chosen
+on labels that neither fitted it nor are reported; README.md tells their effect.
 
 Defined results: a null or empty text has no features and gets the severity of an empty
-document; without toxic labels the severity is 0 everywhere; repeated rows are judged alike.
+document; without labels of both kinds the severity is 0 everywhere; repeated rows are judged
+alike; a text of any length is read whole; an empty table gives an empty result; columns other
+than the id, text and those kept are not read, so extra ones may have any name.
 """
 
 from __future__ import annotations
@@ -24,19 +31,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import labelled_sample, map_rows
+from ._common import Generations, labelled_sample, map_rows, scratch, stored
 
 LABELLED_DOCS = 20_000
-MAX_FEATURES = 1024
-#: Documents of the sample that must hold a feature.
+MAX_FEATURES = 256
+#: Toxic documents of the sample that must hold a feature.
 LEAST_DOCS = 8
 GRADES = 4
 #: A document whose expected severity reaches this is toxic.
-REJECT_AT = 0.7
-#: Ridge on the weights; of 0.01 to 60 the one with the fewest errors on held-out halves of the labels.
-RIDGE = 1.0
-#: Entries of a worker's memo of words.
-MEMO = 200_000
+REJECT_AT = 0.4
+#: Ridge on the weights.
+RIDGE = 0.1
+#: Entries in a generation of a worker's memo of words.
+MEMO = 100_000
 #: Levels of a feature's count in a document, and of its share in thousandths of the words.
 TIMES = (2, 3, 4, 6, 8)
 PER_MILLE = (5, 10, 20, 40)
@@ -73,28 +80,37 @@ class Ordinal:
         """P(grade > j) for each threshold at the linear score ``s``."""
         return [1 / (1 + float(np.exp(min(700.0, t - s)))) for t in self.thresholds]
 
-    def score(self, text: str | None, memo: dict | None = None) -> float:
+    def score(self, text: str | None, memo: _Memo | None = None) -> float:
+        """The linear score of a whole text."""
         memo = _Memo(self) if memo is None else memo
         words = (text or "").split()
         counts: dict[str, int] = {}
-        for found in map(memo.__getitem__, words):
+        for found in filter(None, map(memo.__getitem__, words)):
             for f in found:
                 counts[f] = counts.get(f, 0) + 1
-        return sum(sorted(self.weights[f] for f in levels(counts, len(words)) if f in self.weights)) if counts else 0.0
+        total, n = 0.0, len(words)
+        for f in sorted(counts):
+            k = counts[f]
+            present, times, shares = memo.parts[f]
+            total += present
+            if k >= 2:
+                total += sum(w for least, w in times if k >= least) + sum(w for least, w in shares if 1000 * k >= least * n)
+        return total
 
 
-class _Memo(dict):
-    """Word to its features that have a weight."""
+class _Memo(Generations):
+    """Word to those of its features that have a weight, alone or with a level."""
 
     def __init__(self, model: Ordinal):
-        super().__init__()
-        self.bases = {f.split(LEVEL)[0] for f in model.weights}
+        super().__init__(MEMO)
+        #: By word or beginning: its weight, and (level, weight) by times and by share.
+        self.parts: dict[str, tuple[float, tuple, tuple]] = {}
+        for base in {f.split(LEVEL)[0] for f in model.weights}:
+            at = lambda mark, ks, base=base: tuple((k, w) for k in ks if (w := model.weights.get(f"{base}{LEVEL}{mark}{k}")))
+            self.parts[base] = model.weights.get(base, 0.0), at("#", TIMES), at("%", PER_MILLE)
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[word] = tuple(f for f in word_features(word) if f in self.bases)
-        return out
+    def make(self, word: str) -> tuple[str, ...]:
+        return tuple(f for f in word_features(word) if f in self.parts)
 
 
 def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, size: int, *, grades: int = GRADES, ridge: float = RIDGE, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +157,24 @@ def document_features(text: str | None) -> set[str]:
     return levels(counts, len(words))
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_DOCS, most: int = MAX_FEATURES) -> Ordinal:
-    sample = labelled_sample(docs, labels, "toxic", limit)
+def grades_by_rank(rows: list[np.ndarray], toxic: np.ndarray, half: np.ndarray, size: int, grades: int = GRADES, ridge: float = RIDGE) -> np.ndarray:
+    """0 for what is not toxic, else 1 to ``grades`` - 1 by the rank of the score that a model of
+    the other half gives."""
+    out = np.where(toxic, 1, 0)
+    for h in (0, 1):
+        other, own = np.flatnonzero(half != h), np.flatnonzero((half == h) & toxic)
+        if len(own) < grades - 1 or not 0 < toxic[other].sum() < len(other):
+            continue
+        w, _ = fit_ordinal([rows[i] for i in other], toxic[other].astype(int), size, grades=2, ridge=ridge)
+        score = np.array([w[rows[i]].sum() for i in own])
+        rank = np.empty(len(own), int)
+        rank[np.argsort(score, kind="stable")] = np.arange(len(own))
+        out[own] = 1 + rank * (grades - 1) // len(own)
+    return out
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_DOCS, most: int = MAX_FEATURES, least: int = LEAST_DOCS, ridge: float = RIDGE) -> Ordinal:
+    """The model fitted on at most ``limit`` labelled documents; only feature indexes reach the driver."""
 
     def count():
         def rows(batch: dict[str, list]) -> Iterator[tuple]:
@@ -155,30 +187,28 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_DOC
 
         return rows
 
-    counts = map_rows(sample, count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    sizes = {r.label: r.n for r in sample.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes.get(1) or not sizes.get(0):
-        return Ordinal()
-    odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
-    picked = counts.where(F.col("toxic") >= LEAST_DOCS).select("f", odds.alias("odds"), "toxic").where("odds > 1")
-    picked = picked.orderBy((F.col("odds") * F.col("toxic")).desc(), "f").limit(most).collect()
-    index = {r.f: i for i, r in enumerate(picked)}
-    strong = {r.f for r in picked if r.odds > 3 and LEVEL not in r.f}
-
-    def encode():
-        def rows(batch: dict[str, list]) -> Iterator[tuple]:
-            for doc_id, text, label in zip(batch["doc_id"], batch["text"], batch["label"], strict=True):
-                words = set((text or "").split())
-                held = document_features(text)
-                hits = sum(1 for w in {x.strip(EDGES).lower() for x in words} if any(f in strong for f in word_features(w)))
-                yield doc_id, sorted(index[f] for f in held if f in index), min(GRADES - 1, max(1, hits)) if label > 0 else 0
-
-        return rows
-
-    got = map_rows(sample, encode, "doc_id long, f array<int>, grade int").toArrow()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    with scratch():
+        sample = stored(labelled_sample(docs, labels, "toxic", limit), "sample")
+        sizes = {r.label: r.n for r in sample.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not sizes.get(1) or not sizes.get(0):
+            return Ordinal()
+        counts = map_rows(sample, count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
+        picked = counts.where(F.col("toxic") >= least).select("f", odds.alias("odds"), "toxic").where("odds > 1")
+        picked = picked.orderBy((F.col("odds") * F.col("toxic")).desc(), "f").limit(most).collect()
+        index = {r.f: i for i, r in enumerate(picked)}
+
+        def encode():
+            def rows(batch: dict[str, list]) -> Iterator[tuple]:
+                for doc_id, text, label in zip(batch["doc_id"], batch["text"], batch["label"], strict=True):
+                    yield doc_id, sorted(index[f] for f in document_features(text) if f in index), label > 0
+
+            return rows
+
+        got = map_rows(sample, encode, "doc_id long, f array<int>, toxic boolean").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2))).orderBy("doc_id").toArrow()
     rows = [np.array(r, dtype=int) for r in got["f"].to_pylist()]
-    w, cut = fit_ordinal([rows[i] for i in order], got["grade"].to_numpy()[order].astype(int), len(index))
+    grade = grades_by_rank(rows, got["toxic"].to_numpy(), got["half"].to_numpy(), len(index), ridge=ridge)
+    w, cut = fit_ordinal(rows, grade, len(index), ridge=ridge)
     return Ordinal({r.f: float(w[i]) for i, r in enumerate(picked) if abs(w[i]) > 1e-4}, cut.tolist())
 
 
