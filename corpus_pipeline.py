@@ -3,6 +3,12 @@
 Toxic and poor documents go, one document of each group of near copies stays (the one with the
 least id), the rest is mixed to source weights (a document taken twice is there twice) and
 encoded.  ``STAGES`` holds (name, function); a function takes (spark, docs, sf_dir).
+
+Defined results: a document with a null or empty text is not toxic and fails the quality rules; of
+rows equal in id and text one stays, of copies under several ids the one with the least id (null
+last); a null source is a source of its own.  Without labels nothing is toxic and only the base
+rules of quality decide.  Texts of any length are read whole, columns other than the five of
+documents are left out, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,11 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import bpe, mixing, ngram_join, quality, toxicity
-from weirflow.llm._common import stored, table
+from weirflow.llm._common import scratch, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TYPED = "doc_id long, text string, lang string, source string, n_chars long"
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Fewer entries than the operator remembers by itself: its workers have served the other stages as well.
+MEMO = 80_000
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +48,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)
+    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True, memo=MEMO)
 
 
 STAGES = [
@@ -56,7 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``.  Only the last one's table stays in the shared folder."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"stage{k}")
+        with scratch() as keep:
+            made = written(stage(spark, docs, sf_dir), f"stage{k}")
+            keep(made)
+        if before:
+            before.drop()
+        docs, before = made.frame, made
     return docs

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import zipfile
 
@@ -31,6 +33,7 @@ def shared_root(spark: SparkSession) -> str:
         own = spark.sparkContext.applicationId
         if own not in _own_folders:
             _own_folders[own] = tempfile.mkdtemp(prefix="weirflow-")
+            atexit.register(shutil.rmtree, _own_folders[own], ignore_errors=True)
         root = _own_folders[own]
     return root.rstrip("/")
 
@@ -45,7 +48,9 @@ def ship(spark: SparkSession) -> None:
         return
     here = os.path.dirname(os.path.abspath(__file__))
     name = os.path.basename(here)
-    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{name}.zip")
+    folder = tempfile.mkdtemp(prefix="ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # Spark serves the file from there
+    path = os.path.join(folder, f"{name}.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, files in os.walk(here):
             for f in files:
