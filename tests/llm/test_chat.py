@@ -52,3 +52,23 @@ def test_digest_reads_every_example(spark):
     with pytest.raises(Exception, match="example 1 does not begin"):
         chat.digest_examples(damaged).collect()
     assert "MapInArrow" in (plan := chat.digest_conversations(df)._jdf.queryExecution().executedPlan().toString()) and plan.count("MapInArrow") >= 2
+
+
+def test_long_conversations_go_to_several_tasks(spark, monkeypatch):
+    rows = [(c, i, "assistant" if i % 3 == 1 or c is None and i % 2 else "user", f"<|t{i}|> of {c}") for c, n in ((1, 300), (2, 5), (None, 120), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = sorted(map(str, chat.format_conversations(df).collect()))
+    digests = sorted(map(str, chat.digest_conversations(df).collect()))
+    monkeypatch.setattr(chat, "TURNS", 7)
+    made = chat.format_conversations(df)
+    assert sorted(map(str, made.collect())) == whole and len(whole) == 101 + 2 + 80 + 1
+    assert sorted(map(str, chat.digest_conversations(df).collect())) == digests
+    parts = chat._ordered(df).select("conv_id", "part").distinct().groupBy("conv_id").count()
+    assert {r.conv_id: r["count"] for r in parts.collect()} == {1: 43, 2: 1, None: 18, 3: 1}
+
+
+@given(st.lists(st.tuples(ROLES, TEXTS), min_size=1, max_size=12), st.integers(1, 5))
+def test_parts_make_up_the_whole(turns, size):
+    whole = list(chat.numbered(turns))
+    assert [e for p in range(-(-len(turns) // size)) for e in chat.numbered(turns, p * size, (p + 1) * size)] == whole
+    assert [i for i, _ in whole] == list(range(len(whole)))

@@ -9,17 +9,23 @@ example without a trained part, so no turn is lost.  A turn is written as
 and ``<|`` inside a text gets a backslash between its two characters (one more, if there are
 some), which is undone on reading.
 
-Rows are dealt by conversation and sorted by turn; a task holds one conversation's turns and
-one example at a time.  Defined results: null texts and roles are empty; rows with a null
-conversation make up one; rows of one turn are in the order of role and text; extra columns are
-not read.
+Rows are dealt by conversation and sorted by turn.  A task makes the examples of up to ``TURNS``
+turns; a longer conversation goes to several tasks, each with all of its turns, so that its
+examples, whose size grows with the square of its turns, are not made in one.  A task holds
+one conversation's turns and about one batch of examples.  Reading examples back is spread like
+making them; one task then only puts a conversation's digests and trained texts in order.
+
+Defined results: null texts and roles are empty; rows with a null conversation make up one; rows
+of one turn are in the order of role and text, null turns first; repeated rows are turns of
+their own; texts may have any length; an empty table gives an empty result; columns other than
+the four are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -38,6 +44,8 @@ TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 TARGET = "assistant"
 #: Characters that a batch of examples holds, about.
 BATCH_CHARS = 4_000_000
+#: Turns whose examples one task makes.
+TURNS = 512
 
 
 @dataclass
@@ -65,20 +73,25 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def expand(turns: Iterable[tuple[str, str]]) -> Iterator[Example]:
-    """The examples of one conversation, from its turns (role, text) in order."""
+def numbered(turns: Iterable[tuple[str, str]], first: int = 0, stop: int | None = None) -> Iterator[tuple[int, Example]]:
+    """The examples of one conversation that end with its turns from ``first`` up to ``stop``, with their numbers."""
     context: list[str] = []
-    size, open_turns = 0, True
-    for role, text in turns:
+    size, number, at, open_turns = 0, 0, -1, True
+    for at, (role, text) in enumerate(turns):
         head, body = f"{START}{escape_role(role)}\n", escape(text)
         context.append(f"{head}{body}{END}\n")
-        if open_turns := role != TARGET:
-            size += len(context[-1])
-            continue
-        yield Example("".join(context), size + len(head), size + len(head) + len(body))
+        if not (open_turns := role != TARGET):
+            if first <= at and (stop is None or at < stop):
+                yield number, Example("".join(context), size + len(head), size + len(head) + len(body))
+            number += 1
         size += len(context[-1])
-    if open_turns:
-        yield Example("".join(context), 0, 0)
+    if open_turns and first <= at and (stop is None or at < stop):
+        yield number, Example("".join(context), 0, 0)
+
+
+def expand(turns: Iterable[tuple[str, str]]) -> Iterator[Example]:
+    """The examples of one conversation, from its turns (role, text) in order."""
+    return (e for _, e in numbered(turns))
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -86,95 +99,89 @@ def parse(text: str) -> list[tuple[str, str]]:
     return [(unescape_role(m[1]), unescape(m[2])) for m in TURN.finditer(text)]
 
 
-def _conversations(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
-    """Conversations from batches (conv_id, role, text) in order."""
-    now, turns = None, None
-    for batch in rows:
-        for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if turns is None or conv != now:
-                if turns is not None:
-                    yield now, turns
-                now, turns = conv, []
-            turns.append((role or "", text or ""))
-    if turns is not None:
-        yield now, turns
+def _conversations(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int | None, int], list[tuple[str, str]]]]:
+    """((conversation, part), turns) from batches (conv_id, part, role, text) in order."""
+    each = ((row[:2], (row[2] or "", row[3] or "")) for batch in rows for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+    for key, group in groupby(each, key=lambda r: r[0]):
+        yield key, [turn for _, turn in group]
 
 
 def _ordered(conversations: DataFrame) -> DataFrame:
+    """(conv_id, part, role, text): a conversation's turns in order, once for each part of its examples."""
     ship(conversations.sparkSession)
     picked = conversations.select("conv_id", "role", "text", "turn")
-    return picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    sizes = picked.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > TURNS)
+    parts = sizes.select(F.col("conv_id").alias("_conv"), F.ceil(F.col("_n") / TURNS).cast("int").alias("_parts"))
+    met = picked.join(parts, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    spread = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return spread.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text").select("conv_id", "part", "role", "text")
+
+
+def _batches(rows: Iterator[tuple], size_of: Callable[[tuple], int], fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about BATCH_CHARS."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + size_of(row)
+        if size >= BATCH_CHARS:
+            yield as_batch(held, fields)
+            held, size = [], 0
+    if held:
+        yield as_batch(held, fields)
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """The examples: conv_id, example (from 0), text, loss_start, loss_end."""
     schema = T._parse_datatype_string("conv_id long, example long, text string, loss_start long, loss_end long")
-    fields = arrow_type(schema)
+    fields, most = arrow_type(schema), TURNS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for conv, turns in _conversations(batches):
-            for i, e in enumerate(expand(turns)):
-                held.append((conv, i, e.text, e.loss_start, e.loss_end))
-                size += len(e.text)
-                if size >= BATCH_CHARS:
-                    yield as_batch(held, fields)
-                    held, size = [], 0
-        if held:
-            yield as_batch(held, fields)
+        made = ((conv, i, e.text, e.loss_start, e.loss_end) for (conv, part), turns in _conversations(batches) for i, e in numbered(turns, part * most, (part + 1) * most))
+        yield from _batches(made, lambda r: len(r[2]), fields)
 
     return _ordered(conversations).mapInArrow(run, schema)
 
 
-def read_back(examples: Iterable[Example]) -> tuple[int, str, int, str, int]:
-    """(n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of one conversation's examples.
-
-    Each example's turns begin with those of the one before; the last example holds all turns.
-    """
-    loss, loss_chars, chars, last = hashlib.sha256(), 0, 0, []
-    for i, e in enumerate(examples):
-        trained = unescape(e.text[e.loss_start : e.loss_end])
-        loss.update(trained.encode("utf-8", "surrogatepass"))
-        loss_chars += len(trained)
-        chars += len(e.text)
-        now = parse(e.text)
-        if now[: len(last)] != last:
-            raise ValueError(f"example {i} does not begin with the turns of the one before")
-        last = now
-    turns = hashlib.sha256()
-    for role, text in last:
-        turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-    return len(last), turns.hexdigest(), loss_chars, loss.hexdigest(), chars
-
-
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Example]]:
-    """Examples from batches (conv_id, text, loss_start, loss_end), one by one."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            conv, *rest = (batch.column(k)[i].as_py() for k in range(4))
-            yield conv, Example(*rest)
+def read_back(e: Example) -> tuple[int, str, str | None, str, int]:
+    """Of one example: the number of its turns, their digest, that of those up to the last target before
+    its last turn (none: null), the trained text, and the example's length."""
+    turns, digest, before = parse(e.text), hashlib.sha256(), None
+    for i, (role, text) in enumerate(turns):
+        digest.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        if role == TARGET and i < len(turns) - 1:
+            before = digest.copy()
+    return len(turns), digest.hexdigest(), before and before.hexdigest(), unescape(e.text[e.loss_start : e.loss_end]), len(e.text)
 
 
 def digest_examples(examples: DataFrame) -> DataFrame:
     """What the rows of ``format_conversations`` hold, by conversation, read back from them.
 
-    A conversation's rows stand in one partition, as they are made.
+    Every example must begin with all turns of the one before; else the run ends.
     """
+    ship(examples.sparkSession)
+    read = T._parse_datatype_string("conv_id long, example long, n_turns long, digest string, before string, trained string, chars long")
     schema = T._parse_datatype_string("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    fields = arrow_type(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for conv, group in groupby(_examples(batches), key=lambda x: x[0]):
-            held.append((conv, *read_back(e for _, e in group)))
-            if len(held) >= 2048:
-                yield as_batch(held, fields)
-                held = []
-        if held:
-            yield as_batch(held, fields)
-
-    ordered = examples.sortWithinPartitions("conv_id", "example")
-    return ordered.select("conv_id", "text", "loss_start", "loss_end").mapInArrow(run, schema)
+    read_fields, fields = arrow_type(read), arrow_type(schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ([batch.column(k)[i].as_py() for k in range(5)] for batch in batches for i in range(batch.num_rows))  # one example at a time
+        yield from _batches(((conv, i, *read_back(Example(*e))) for conv, i, *e in rows), lambda r: len(r[5]), read_fields)
+
+    def whole(rows: Iterator[tuple]) -> tuple:
+        loss, loss_chars, chars, last, n = hashlib.sha256(), 0, 0, None, 0
+        for i, (_, example, n, digest, before, trained, size) in enumerate(rows):
+            if example != i or before != last:
+                raise ValueError(f"example {i} does not begin with the turns of the one before")
+            loss.update(trained.encode("utf-8", "surrogatepass"))
+            loss_chars, chars, last = loss_chars + len(trained), chars + size, digest
+        return n, last, loss_chars, loss.hexdigest(), chars
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True))
+        yield from _batches(((conv, *whole(group)) for conv, group in groupby(rows, key=lambda r: r[0])), lambda r: 200, fields)
+
+    found = examples.select("conv_id", "example", "text", "loss_start", "loss_end").mapInArrow(each, read)
+    return found.repartition("conv_id").sortWithinPartitions("conv_id", "example").mapInArrow(join, schema)
 
 
 def digest_conversations(conversations: DataFrame) -> DataFrame:
