@@ -9,7 +9,11 @@ rank gives the same two tokens; that is memoised.  A sequence in which all adjac
 compatible is the one that the merges produce, so the result is exact, in linear time.
 
 A piece that is itself a token is that token.  Special tokens are not recognised: their text is
-ordinary text.  Defined results: null is an empty text, which has no ids.
+ordinary text.
+
+Defined results: null is an empty text, which has no ids; of merges with equal rank the left one
+comes first; repeated rows are encoded alike; a text of any length is encoded whole; an empty
+table gives an empty result; columns other than the text and those kept are not read.
 """
 
 from __future__ import annotations
@@ -204,9 +208,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: str = "doc_
     Columns: those of ``keep``, n_tokens, ids_sha256 (of the ids as little-endian 32-bit
     integers), decoded_sha256 (of the decoded bytes) and, ``with_ids``, the ids themselves.
     The vocabulary is read from ``path`` on each executor: a file that is installed there.
-    ``memo`` bounds the entries that a worker remembers.  Repeated rows are encoded alike, an
-    empty table gives an empty result, a text of any length is encoded whole, and columns other
-    than those kept and text are not read.
+    ``memo`` bounds the entries that a worker remembers.
     """
     columns = [c.split()[0] for c in keep.split(",")]
 

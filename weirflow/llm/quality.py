@@ -8,11 +8,13 @@ scored level by level without a Python loop over documents.  Features named in
 ``DECREASING`` can only lower the score: a split that would break this is not taken and leaf
 values are held between the bounds of their branch.
 
-The trees are fitted on at most ``LABELLED_DOCS`` labelled rows (a parameter).  Without both
-labels in the sample no tree is grown and the base rules decide alone.
+The trees are fitted on at most ``LABELLED_DOCS`` labelled rows (a parameter), one for each id.
+Without both labels in the sample no tree is grown and the base rules decide alone.
 
-Defined results: a null text counts as one without words and fails the base rules; repeated
-rows are judged alike; extra columns are not read.
+Defined results: a null text counts as one without words and fails the base rules, and so does
+an empty one; a score of just the threshold is kept; repeated rows are judged alike; a text of
+any length is read whole; an empty table gives an empty result; columns other than the id, text
+and those kept are not read, so extra ones may have any name.
 """
 
 from __future__ import annotations
