@@ -54,7 +54,10 @@ EDGES = ".,;:!?\"'()[]{}*$%&#|<>-_"
 
 def word_features(word: str) -> tuple[str, ...]:
     """A word's own feature and those of its beginnings."""
-    w = word.strip(EDGES).lower()
+    return _beginnings(word.strip(EDGES).lower())
+
+
+def _beginnings(w: str) -> tuple[str, ...]:
     return (w, *(f"{w[:n]}+" for n in range(3, 9) if len(w) > n)) if w else ()
 
 
@@ -80,37 +83,46 @@ class Ordinal:
         """P(grade > j) for each threshold at the linear score ``s``."""
         return [1 / (1 + float(np.exp(min(700.0, t - s)))) for t in self.thresholds]
 
-    def score(self, text: str | None, memo: _Memo | None = None) -> float:
-        """The linear score of a whole text."""
-        memo = _Memo(self) if memo is None else memo
+    def found(self, text: str | None, memo: _Memo) -> list[str]:
+        """The features of a whole text that have a weight, in an order that depends on them alone."""
         words = (text or "").split()
         counts: dict[str, int] = {}
-        for found in filter(None, map(memo.__getitem__, words)):
-            for f in found:
-                counts[f] = counts.get(f, 0) + 1
-        total, n = 0.0, len(words)
+        starts = memo.starts
+        for word, k in Counter(words).items():
+            plain = word.strip(EDGES).lower()
+            if plain[:3] in starts:
+                for f in memo[plain]:
+                    counts[f] = counts.get(f, 0) + k
+        out, n = [], len(words)
         for f in sorted(counts):
             k = counts[f]
             present, times, shares = memo.parts[f]
-            total += present
+            out += present
             if k >= 2:
-                total += sum(w for least, w in times if k >= least) + sum(w for least, w in shares if 1000 * k >= least * n)
-        return total
+                out += [name for least, name in times if k >= least]
+                out += [name for least, name in shares if 1000 * k >= least * n]
+        return out
+
+    def score(self, text: str | None, memo: _Memo | None = None) -> float:
+        """The linear score of a whole text."""
+        return sum(map(self.weights.__getitem__, self.found(text, _Memo(self) if memo is None else memo)), 0.0)
 
 
 class _Memo(Generations):
-    """Word to those of its features that have a weight, alone or with a level."""
+    """Word, as ``word_features`` strips it, to those of its features that have a weight, alone or with a level."""
 
     def __init__(self, model: Ordinal):
         super().__init__(MEMO)
-        #: By word or beginning: its weight, and (level, weight) by times and by share.
-        self.parts: dict[str, tuple[float, tuple, tuple]] = {}
+        #: By word or beginning: its features alone, and (level, feature) by times and by share.
+        self.parts: dict[str, tuple[tuple, tuple, tuple]] = {}
         for base in {f.split(LEVEL)[0] for f in model.weights}:
-            at = lambda mark, ks, base=base: tuple((k, w) for k in ks if (w := model.weights.get(f"{base}{LEVEL}{mark}{k}")))
-            self.parts[base] = model.weights.get(base, 0.0), at("#", TIMES), at("%", PER_MILLE)
+            at = lambda mark, ks, base=base: tuple((k, f) for k in ks if (f := f"{base}{LEVEL}{mark}{k}") in model.weights)
+            self.parts[base] = (base,) if base in model.weights else (), at("#", TIMES), at("%", PER_MILLE)
+        #: How words with such features begin: beginnings have three characters at least.
+        self.starts = {base[:3] for base in self.parts}
 
     def make(self, word: str) -> tuple[str, ...]:
-        return tuple(f for f in word_features(word) if f in self.parts)
+        return tuple(f for f in _beginnings(word) if f in self.parts)
 
 
 def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, size: int, *, grades: int = GRADES, ridge: float = RIDGE, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -198,14 +210,18 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_DOC
         picked = picked.orderBy((F.col("odds") * F.col("toxic")).desc(), "f").limit(most).collect()
         index = {r.f: i for i, r in enumerate(picked)}
 
+        candidates = Ordinal(dict.fromkeys(index, 1.0))
+
         def encode():
+            memo = _Memo(candidates)
+
             def rows(batch: dict[str, list]) -> Iterator[tuple]:
                 for doc_id, text, label in zip(batch["doc_id"], batch["text"], batch["label"], strict=True):
-                    yield doc_id, sorted(index[f] for f in document_features(text) if f in index), label > 0
+                    yield doc_id, sorted(index[f] for f in candidates.found(text, memo)), label > 0
 
             return rows
 
-        got = map_rows(sample, encode, "doc_id long, f array<int>, toxic boolean").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2))).orderBy("doc_id").toArrow()
+        got = map_rows(sample, encode, "doc_id long, f array<int>, toxic boolean").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2))).toArrow().sort_by("doc_id")
     rows = [np.array(r, dtype=int) for r in got["f"].to_pylist()]
     grade = grades_by_rank(rows, got["toxic"].to_numpy(), got["half"].to_numpy(), len(index), ridge=ridge)
     w, cut = fit_ordinal(rows, grade, len(index), ridge=ridge)
