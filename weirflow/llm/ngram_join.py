@@ -21,7 +21,10 @@ can't change it.  Long lists are cut into blocks of which every two meet in one
 
 Defined results: null or blank texts have an empty set and are linked with nothing; with fewer
 than five words the whole sequence is the one shingle; rows with equal texts are in one class,
-whatever their ids; component_id is the least non-null id reachable, null if there is none.
+whatever their ids; component_id is the least non-null id reachable, null if there is none; a
+text of any length is one set; an empty table gives an empty result; columns other than doc_id
+and text are not read, so extra ones may have any name.  Tasks are run again where executors are
+lost, so ``docs`` must give the same rows in the same order again, as files do.
 """
 
 from __future__ import annotations
