@@ -18,7 +18,8 @@ DIR = "/root/testdata/sf0.001"
 def test_pipeline_against_brute_force(spark):
     docs, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
     model = toxicity.learn_toxicity(docs, labels)
-    rows = [r for r in docs.collect() if sum(model.severity(model.score(r.text))) < toxicity.REJECT_AT]
+    rows = [r for r in docs.collect() if sum(model.severity(model.score(r.text))) < model.reject_at]
+    assert len(rows) > 100
     clean = spark.createDataFrame(rows, docs.schema)
     trees = quality.learn_quality(clean, labels)
 

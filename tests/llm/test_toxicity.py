@@ -158,3 +158,31 @@ def test_sample_has_one_row_for_each_id(spark):
     assert {r.doc_id: r.label for r in got}[7] == 1 and len(got) == 32
     again = _common.labelled_sample(docs.repartition(2), labels, "toxic", 1000).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_a_sample_that_teaches_nothing_rejects_nothing(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randint(0, 300)}" for _ in range(30)), int(i % 9 == 0)) for i in range(120)]
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string")
+    for labelled in (rows, rows[:12]):
+        labels = spark.createDataFrame([(i, y) for i, _, y in labelled], "doc_id long, toxic int")
+        model = t.learn_toxicity(docs, labels)
+        assert sum(r.toxic for r in t.score_toxicity(docs, model).collect()) <= 3
+
+
+def test_threshold_has_the_fewest_errors_on_the_other_half():
+    rng = np.random.default_rng(4)
+    toxic = rng.random(600) < 0.2
+    rows = [np.array([0] if t and rng.random() < 0.95 else [1]) for t in toxic]
+    half = np.arange(600) % 2
+    grade = t.grades_by_rank(rows, toxic, half, 2)
+    at = t.reject_threshold(rows, grade, half, 2)
+    w, cut = t.fit_ordinal(rows, grade, 2)
+    severity = t.severities(rows, w, cut)
+    assert ((severity >= at) == np.array([r[0] == 0 for r in rows])).all()
+    assert severity[0] == pytest.approx(sum(t.Ordinal({}, cut.tolist()).severity(float(w[rows[0]].sum()))))
+    assert t.reject_threshold(rows, np.zeros(600, int), half, 2) == t.REJECT_AT  # nothing to reject: no error anywhere
+    for grade in (toxic.astype(int), 3 * toxic.astype(int)):  # no features: nothing can be told apart
+        none = [np.zeros(0, int)] * 600
+        w, cut = t.fit_ordinal(none, grade, 2)
+        assert t.severities(none[:1], w, cut)[0] < t.reject_threshold(none, grade, half, 2)

@@ -38,8 +38,10 @@ MAX_FEATURES = 256
 #: Toxic documents of the sample that must hold a feature.
 LEAST_DOCS = 8
 GRADES = 4
-#: A document whose expected severity reaches this is toxic.
+#: A document whose expected severity reaches this is toxic, unless another threshold has fewer errors
+#: on documents of the sample that the model has not seen; the last one rejects nothing.
 REJECT_AT = 0.4
+THRESHOLDS = (0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.5, 2.0, 4.0)
 #: Ridge on the weights.
 RIDGE = 0.1
 #: Entries in a generation of a worker's memo of words.
@@ -74,10 +76,11 @@ def levels(counts: dict[str, int], words: int) -> set[str]:
 
 @dataclass
 class Ordinal:
-    """Weights by feature and ordered thresholds."""
+    """Weights by feature, ordered thresholds, and the expected severity from which on a document is toxic."""
 
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=list)
+    reject_at: float = REJECT_AT
 
     def severity(self, s: float) -> list[float]:
         """P(grade > j) for each threshold at the linear score ``s``."""
@@ -185,6 +188,25 @@ def grades_by_rank(rows: list[np.ndarray], toxic: np.ndarray, half: np.ndarray,
     return out
 
 
+def severities(rows: list[np.ndarray], w: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The expected severity of each of ``rows``."""
+    s = np.array([w[r].sum() for r in rows])
+    return (1 / (1 + np.exp(np.clip(cut[None, :] - s[:, None], -50, 50)))).sum(axis=1)
+
+
+def reject_threshold(rows: list[np.ndarray], grade: np.ndarray, half: np.ndarray, size: int, ridge: float = RIDGE) -> float:
+    """Of THRESHOLDS the one with the fewest errors when each half is judged by a model of the
+    other; of equals the nearest to REJECT_AT.  So a sample that teaches nothing rejects nothing."""
+    found = np.zeros(len(rows))
+    for h in (0, 1):
+        other, own = np.flatnonzero(half != h), np.flatnonzero(half == h)
+        if len(own) and 0 < (grade[other] > 0).sum() < len(other):
+            w, cut = fit_ordinal([rows[i] for i in other], grade[other], size, ridge=ridge)
+            found[own] = severities([rows[i] for i in own], w, cut)
+    errors = {t: int(((found >= t) != (grade > 0)).sum()) for t in THRESHOLDS}
+    return min(THRESHOLDS, key=lambda t: (errors[t], abs(t - REJECT_AT), t))
+
+
 def learn_toxicity(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_DOCS, most: int = MAX_FEATURES, least: int = LEAST_DOCS, ridge: float = RIDGE) -> Ordinal:
     """The model fitted on at most ``limit`` labelled documents; only feature indexes reach the driver."""
 
@@ -225,11 +247,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_DOC
     rows = [np.array(r, dtype=int) for r in got["f"].to_pylist()]
     grade = grades_by_rank(rows, got["toxic"].to_numpy(), got["half"].to_numpy(), len(index), ridge=ridge)
     w, cut = fit_ordinal(rows, grade, len(index), ridge=ridge)
-    return Ordinal({r.f: float(w[i]) for i, r in enumerate(picked) if abs(w[i]) > 1e-4}, cut.tolist())
+    reject_at = reject_threshold(rows, grade, got["half"].to_numpy(), len(index), ridge)
+    return Ordinal({r.f: float(w[i]) for i, r in enumerate(picked) if abs(w[i]) > 1e-4}, cut.tolist(), reject_at)
 
 
-def score_toxicity(docs: DataFrame, model: Ordinal, keep: str = "doc_id long", reject_at: float = REJECT_AT) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Ordinal, keep: str = "doc_id long", reject_at: float | None = None) -> DataFrame:
     """Expected severity, likeliest grade and verdict for every row of ``docs``."""
+    reject_at = model.reject_at if reject_at is None else reject_at
     columns = [c.split()[0] for c in keep.split(",")]
 
     def make():
