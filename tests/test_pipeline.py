@@ -146,6 +146,25 @@ def test_strict_keys(spark):
         p.dataframe(RunOptions(strict_keys=True)).collect()
 
 
+def test_errors_are_logged_at_the_driver(spark, caplog):
+    def odd(row):
+        if row["col1"] % 2:
+            raise ValueError("odd")
+
+    def fails(left, right):
+        raise ValueError("never")
+
+    p = numbers(spark, 100).to(Map(odd), Reduce(F.lit(1), fails))
+    with caplog.at_level("ERROR", "weirflow"):
+        p.run(RunOptions(ignore_row_errors=True, log_errors=1000))
+    said = [r.getMessage() for r in caplog.records]
+    assert sum("Map failed on row" in m for m in said) == 50 and sum("Reduction failed on row" in m for m in said) == 49
+    caplog.clear()
+    with caplog.at_level("ERROR", "weirflow"):
+        p.run(RunOptions(ignore_row_errors=True, log_errors=7))
+    assert len(caplog.records) == 7
+
+
 def test_statistics_of_stages(spark):
     stats = numbers(spark, 30).to(Reduce(F.col("col1") % 4, {"col1": F.sum("col1")})).run().stats
     names = ("partitions", "stage_seconds", "transform_seconds", "shuffle_seconds", "partition_seconds")

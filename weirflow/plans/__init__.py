@@ -11,13 +11,14 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pyarrow as pa
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import RowError, RunTimeout, SchemaError
 from ..operators import Accumulate, AddColumn, Collect, Custom, Filter, FlatMap, ForEach, Group, Map, Operation, Reduce, RemoveColumn, RenameColumn, check, col
-from ..rows import ERROR, Row, apply_rows, arrow_fields, read_rows, to_batch
+from ..rows import ERROR, Row, apply_rows, arrow_fields, log, read_rows, read_values, to_batch
 from ..schema import Schema, schema_of
 from ..shipping import ship
 
@@ -38,6 +39,8 @@ class RunOptions:
     are then not pushed through the ends of stages.
     ``strict_keys``: a missing value in a key column ends the run; otherwise missing values are a
     key of their own.
+    ``log_errors``: of the errors of rows that are left out, ``run`` gives at most so many to the
+    driver's logger ``weirflow``, wherever they come up.
     """
 
     ignore_row_errors: bool = False
@@ -45,6 +48,8 @@ class RunOptions:
     timeout: float | None = None
     count_rows: bool = False
     strict_keys: bool = False
+    log_errors: int = 20
+    note: Callable[[str], None] | None = field(default=None, repr=False, compare=False)
 
 
 @dataclass
@@ -164,6 +169,9 @@ class Pipeline:
     def _run(self, options: RunOptions) -> Result:
         began, first_job = time.time(), _next_job(self.source.sparkSession)
         counts: list[Observation] | None = [] if options.count_rows else None
+        if options.ignore_row_errors and options.log_errors:
+            found = self.source.sparkSession.sparkContext.accumulator([], _Messages(options.log_errors))
+            options = replace(options, note=lambda text: found.add([text]))
         df, schema = self._compile(options, None, counts=counts)
         last = self.operations[-1] if self.operations else None
         result = Result()
@@ -192,11 +200,27 @@ class Pipeline:
         else:
             df.write.format("noop").mode("overwrite").save()
         result.stats = {"seconds": time.time() - began, "stages": len(self.stages())} | _stage_times(self.source.sparkSession, first_job)
+        if options.note is not None:
+            for text in found.value:
+                log.error(text)
         if counts is not None:
             result.stats["rows"] = [o.get["rows"] for o in counts]
         return result
 
 
+class _Messages(AccumulatorParam):
+    """The first ``most`` of the messages that tasks send."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def zero(self, value: list[str]) -> list[str]:
+        return []
+
+    def addInPlace(self, value1: list[str], value2: list[str]) -> list[str]:  # noqa: N802
+        return (value1 + value2)[: self.most]
+
+
 def _without(row: T.Row, name: str) -> T.Row:
     return T.Row(**{k: v for k, v in zip(row.__fields__, row, strict=True) if k != name})
 
@@ -292,7 +316,7 @@ def _narrow(df: DataFrame, schema: Schema, op: Operation, options: RunOptions, e
             do(row)
             yield row
 
-        return _split(apply_rows(df, schema, "Map", each, ignore), schema, errors, options), after
+        return _split(apply_rows(df, schema, "Map", each, ignore, options.note), schema, errors, options), after
     if isinstance(op, Filter):
         if isinstance(op.what, Column):
             return df.where(op.what), after
@@ -302,7 +326,7 @@ def _narrow(df: DataFrame, schema: Schema, op: Operation, options: RunOptions, e
             if holds(row):
                 yield row
 
-        return _split(apply_rows(df, schema, "Filter", keep, ignore), schema, errors, options), after
+        return _split(apply_rows(df, schema, "Filter", keep, ignore, options.note), schema, errors, options), after
     if isinstance(op, FlatMap):
         if isinstance(op.what, Column):
             made = df.select(*map(col, op.keep), F.explode(op.what).alias("_made"))
@@ -324,7 +348,7 @@ def _narrow(df: DataFrame, schema: Schema, op: Operation, options: RunOptions, e
             spread(row, factory)
             yield from made
 
-        return _split(apply_rows(df, schema, "FlatMap", emit, ignore), schema, errors, options), after
+        return _split(apply_rows(df, schema, "FlatMap", emit, ignore, options.note), schema, errors, options), after
     raise SchemaError(f"unknown operation {op!r}")
 
 
@@ -405,7 +429,7 @@ def _python_key(df: DataFrame, schema: Schema, key: Callable[[Row], bytes], opti
         row.values["_key"] = bytes(key(row))
         yield row
 
-    return _split(apply_rows(df.withColumn("_key", F.lit(None).cast("binary")), widened, "Keying", each, options.ignore_row_errors), widened, errors, options)
+    return _split(apply_rows(df.withColumn("_key", F.lit(None).cast("binary")), widened, "Keying", each, options.ignore_row_errors, options.note), widened, errors, options)
 
 
 def _fold(df: DataFrame, schema: Schema, kept: Schema, op: Reduce, options: RunOptions, errors: list[DataFrame] | None) -> DataFrame:
@@ -426,7 +450,7 @@ def _fold(df: DataFrame, schema: Schema, kept: Schema, op: Reduce, options: RunO
     widened = kept.clone().create_column("_key", VarBytes).create_column(ERROR, VarString)
     struct, ignore = widened.struct(), options.ignore_row_errors
     fields = arrow_fields(struct)
-    merge = op.merge
+    merge, note = op.merge, options.note
     if isinstance(merge, dict):
         raise SchemaError("a reduction with a Python key needs a Python function")
 
@@ -438,16 +462,22 @@ def _fold(df: DataFrame, schema: Schema, kept: Schema, op: Reduce, options: RunO
             if not ignore:
                 raise RowError("Reduction", right.to_string(), f"{type(e).__name__}: {e}") from e
             failed.append({"_key": before["_key"], ERROR: f"Reduction failed on row {right.to_string()}: {type(e).__name__}: {e}"})
+            if note is not None:
+                note(failed[-1][ERROR])
             left.values = before
         return left
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, Row] = {}
-        size, failed = 0, []
+        size, failed, right = 0, [], Row(widened, {})  # one view serves all rows that are merged into others
         for batch in batches:
-            for row in read_rows(batch, widened):
-                k = row.values["_key"]
-                held[k] = join(held[k], row, failed) if k in held else row
+            for values in read_values(batch, widened):
+                left = held.get(values["_key"])
+                if left is None:
+                    held[values["_key"]] = Row(widened, values)
+                else:
+                    right.values = values
+                    join(left, right, failed)
             size += batch.nbytes
             if len(held) >= FOLD_KEYS or size >= FOLD_BYTES or failed:
                 yield to_batch([r.values for r in held.values()] + failed, widened, fields)

@@ -100,17 +100,25 @@ class Row:
 ERROR = "_row_error"
 
 
-def read_rows(batch: pa.RecordBatch, schema: Schema) -> Iterator[Row]:
+def read_values(batch: pa.RecordBatch, schema: Schema) -> Iterator[dict[str, Any]]:
+    """The rows of a batch as values by column name, with the user's types decoded."""
     names = batch.schema.names
     codecs = {n: k.decode for n, k in schema if isinstance(k, Custom) and k.decode}
     maps = {n for n, k in schema if isinstance(k.spark, T.MapType)}
-    for values in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-        row = dict(zip(names, values, strict=True))
+    rows = (dict(zip(names, values, strict=True)) for values in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True))
+    if not codecs and not maps:
+        yield from rows
+        return
+    for row in rows:
         for n in maps:
             row[n] = None if row.get(n) is None else dict(row[n])
         for n, decode in codecs.items():
             row[n] = None if row.get(n) is None else decode(row[n])
-        yield Row(schema, row)
+        yield row
+
+
+def read_rows(batch: pa.RecordBatch, schema: Schema) -> Iterator[Row]:
+    return (Row(schema, values) for values in read_values(batch, schema))
 
 
 def to_batch(rows: list[dict[str, Any]], schema: Schema, fields: pa.Schema) -> pa.RecordBatch:
@@ -132,10 +140,11 @@ def arrow_fields(struct: T.StructType) -> pa.Schema:
     return to_arrow_schema(struct)
 
 
-def apply_rows(df: DataFrame, schema: Schema, phase: str, each: Callable[[Row, Callable[[], Row]], Iterator[Row]], ignore_errors: bool) -> DataFrame:
+def apply_rows(df: DataFrame, schema: Schema, phase: str, each: Callable[[Row, Callable[[], Row]], Iterator[Row]], ignore_errors: bool, note: Callable[[str], None] | None = None) -> DataFrame:
     """Run ``each`` on every row; it gets the row and a factory of blank rows and gives rows out.
 
-    The result has the column ERROR: null on good rows, the message on a row that failed.
+    The result has the column ERROR: null on good rows, the message on a row that failed, which
+    ``note`` gets as well.
     """
     ship(df.sparkSession)
     struct = T.StructType([*schema.struct().fields, T.StructField(ERROR, T.StringType())])
@@ -153,6 +162,8 @@ def apply_rows(df: DataFrame, schema: Schema, phase: str, each: Callable[[Row, C
                     if not ignore_errors:
                         raise RowError(phase, text, f"{type(e).__name__}: {e}") from e
                     made = [{ERROR: f"{phase} failed on row {text}: {type(e).__name__}: {e}"}]
+                    if note is not None:
+                        note(made[0][ERROR])
                 out += made
             if out:
                 yield to_batch(out, schema, fields)
