@@ -66,7 +66,8 @@ WEAK_NAMES = re.compile(r"related|recommended|recommendations|share|sharing|soci
 SLUGGED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 HEADERS = frozenset(("header", "site-header", "global-header"))
 
-OPENING = re.compile(r"<(?:[a-zA-Z!?]|/)")
+#: What may begin a tag or comment; a plain tag as a whole, whose quotes hold no angle brackets.
+OPENING = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)([^<>\"']*+(?:\"[^\"<>]*+\"[^<>\"']*+|'[^'<>]*+'[^<>\"']*+)*+)>|[a-zA-Z!?/])")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -96,7 +97,9 @@ def tokens(source: str) -> Iterator[tuple[int, int, str, str]]:
     quoted = True
     while m := OPENING.search(source, at):
         start = m.start()
-        if source.startswith("<!--", start):
+        if m[2]:
+            end, name, attributes = m.end(), m[1] + m[2].lower(), m[3]
+        elif source.startswith("<!--", start):
             stop = source.find("-->", start + 4)
             end = len(source) if stop < 0 else stop + 3
             name = attributes = ""
@@ -192,6 +195,8 @@ class Page:
 
     def _imply(self, name: str) -> None:
         """End tags that may be left out: p before a block, an item before the next item."""
+        if name not in CLOSES_P and name not in CLOSED_BY_SAME:
+            return
 
         def nearest(*names: str) -> int:
             return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
