@@ -118,5 +118,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple
         keep_table(paths)
     best = active(paths.frame, order).where(F.col("active").isNotNull())
     best = best.groupBy(F.col("host").alias("_host"), F.col("edge").cast("string").alias("_path")).agg(F.max("active").alias("best"))
-    out = read.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
+    # both sides grow with the input: neither is to be broadcast, however small a run finds it
+    out = read.join(best.hint("merge"), (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
     return out.select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
