@@ -375,7 +375,8 @@ def _dealt(df: DataFrame, keys: Sequence[str], size: int, hashed: Column) -> Dat
     """``df`` dealt by CHUNK: the key and the number of the row's chunk of ``size`` rows in it.
 
     Rows are numbered within their key and a salt from their hash, then moved on by how many
-    rows the key's salts before have; so no key, however common, is numbered in one task.
+    rows the key's salts before have; so no key, however common, is numbered in one task.  The
+    frame is read twice, for the counts and for the rows.
     """
     spread = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = df.withColumn("_salt", F.pmod(hashed, F.lit(spread)).cast("int"))

@@ -23,11 +23,6 @@ from ..shipping import shared_root, ship
 Generator = Callable[[int], str]
 
 
-class _Span(InputPartition):
-    def __init__(self, generator: int, start: int, end: int):
-        self.generator, self.start, self.end = generator, start, end
-
-
 def generator_source(spark: SparkSession, generators: Sequence[Generator], batch_size: int, limit: int | None = None, name: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """A stream of lines (column value): each batch takes ``batch_size`` records of each generator.
 
@@ -40,6 +35,12 @@ def generator_source(spark: SparkSession, generators: Sequence[Generator], batch
     made, size, most, name = list(generators), batch_size, limit, name or f"generators_{uuid.uuid4().hex}"
     planned = _planned(spark, checkpoint) if checkpoint else 0
 
+    # all classes are local: Spark's planner of streams need not find this package
+
+    class Span(InputPartition):
+        def __init__(self, generator: int, start: int, end: int):
+            self.generator, self.start, self.end = generator, start, end
+
     class Reader(DataSourceStreamReader):
         def __init__(self) -> None:
             self.at = planned
@@ -53,7 +54,7 @@ def generator_source(spark: SparkSession, generators: Sequence[Generator], batch
             return {"record": self.at}
 
         def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-            return [_Span(i, start["record"], end["record"]) for i in range(len(made))]
+            return [Span(i, start["record"], end["record"]) for i in range(len(made))]
 
         def read(self, partition: InputPartition) -> Iterator[tuple[str]]:
             for k in range(partition.start, partition.end):
@@ -113,6 +114,8 @@ def run_stream(pipeline: Pipeline, sink: Callable[[DataFrame, int], None], timeo
     def wait() -> None:
         try:
             query.processAllAvailable()
+        except Exception:  # noqa: S110, BLE001  (stopped, or failed: then the query's own exception is raised below)
+            pass
         finally:
             done.set()
 
