@@ -24,6 +24,8 @@ from ..shipping import ship
 
 #: Keys, and bytes of rows, that a task folds before it gives out what it has.
 FOLD_KEYS, FOLD_BYTES = 100_000, 64 << 20
+#: Seconds that a cancelled run's tasks have to end.
+STOP_SECONDS = 10
 #: The column that numbers the chunks of a repartitioning while a pipeline is compiled.
 CHUNK = "_chunk"
 #: The hash of a reduction's key, where its results are dealt in chunks.
@@ -230,10 +232,9 @@ def _next_job(spark: SparkSession) -> int:
     return jobs.head().jobId() + 1 if jobs.nonEmpty() else 0
 
 
-def _stage_times(spark: SparkSession, first_job: int) -> dict[str, list]:
-    """Of the stages that jobs from ``first_job`` on have run, in order, what Spark's status says."""
+def _stages_since(spark: SparkSession, first_job: int) -> Iterator[Any]:
+    """What Spark's status says of the stages that jobs from ``first_job`` on have run, in order."""
     store = spark.sparkContext._jsc.sc().statusStore()
-    out: dict[str, list] = {"partitions": [], "stage_seconds": [], "transform_seconds": [], "shuffle_seconds": [], "partition_seconds": []}
     jobs, ids = store.jobsList(None).iterator(), set()
     while jobs.hasNext():
         job = jobs.next()
@@ -243,9 +244,15 @@ def _stage_times(spark: SparkSession, first_job: int) -> dict[str, list]:
                 ids.add(int(stages.next()))
     for i in sorted(ids):
         try:
-            stage = store.lastStageAttempt(i)
+            yield store.lastStageAttempt(i)
         except Exception:  # noqa: S112, BLE001  (a stage whose result was there already has no attempt)
             continue
+
+
+def _stage_times(spark: SparkSession, first_job: int) -> dict[str, list]:
+    """Partitions and times of the stages that jobs from ``first_job`` on have run."""
+    out: dict[str, list] = {"partitions": [], "stage_seconds": [], "transform_seconds": [], "shuffle_seconds": [], "partition_seconds": []}
+    for stage in _stages_since(spark, first_job):
         tasks, whole = stage.numCompleteTasks(), stage.executorRunTime() / 1e3
         if tasks:
             shuffle = stage.shuffleWriteTime() / 1e9
@@ -260,10 +267,11 @@ def _stage_times(spark: SparkSession, first_job: int) -> dict[str, list]:
 
 @contextmanager
 def _deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
-    """Cancels the jobs started within once ``seconds`` are over."""
+    """Cancels the jobs started within once ``seconds`` are over, and waits for their tasks to end."""
     if seconds is None:
         yield
         return
+    first_job = _next_job(spark)
     context, tag, late = spark.sparkContext, f"weirflow-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
@@ -278,6 +286,9 @@ def _deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
         yield
     except Exception as e:
         if late.is_set():
+            given_up = time.time() + STOP_SECONDS
+            while time.time() < given_up and any(stage.numActiveTasks() for stage in _stages_since(spark, first_job)):
+                time.sleep(0.1)
             raise RunTimeout(f"stopped after {seconds} seconds") from e
         raise
     finally:
