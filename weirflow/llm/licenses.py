@@ -199,18 +199,17 @@ def sentence_ids(text: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Every row of ``docs`` with sentence_ids (comma-separated) and license."""
-    own = "_" * (1 + max((len(k) - len(k.lstrip("_")) for k in keep), default=0))  # begins no kept column's name
-    ids, left = f"{own}ids", f"{own}rest"
+    ids = "_" * (1 + max((len(k) - len(k.lstrip("_")) for k in keep), default=0)) + "ids"  # no kept column's name
     found = docs.select(*keep, sentence_ids(F.col("text")).alias(ids))
-    joined = F.concat(F.lit(";"), F.array_join(F.transform(ids, lambda x: F.concat(x, F.lit(";"))), ";"))
-    names: list[Column] = []
     # each identifier stands between two marks of its own, so neighbours can be used up one by one
-    rest = F.when(F.size(ids) > 0, joined).otherwise(F.lit(""))
-    out = found.withColumn(left, rest)
-    for k, (name, sequence) in enumerate(ALL_RULES):
-        wanted = "".join(f";{i};" for i in sequence)
-        out = out.withColumn(f"{own}r{k}", F.col(left).contains(wanted)).withColumn(left, F.replace(left, F.lit(wanted), F.lit("#")))
-        names.append(F.when(F.col(f"{own}r{k}"), F.lit(name)))
-    licences = F.array_join(F.array_distinct(F.filter(F.array(*names), lambda x: x.isNotNull())), ",")
-    verdict = F.when(licences != "", licences).when(F.size(ids) > 0, F.lit("unknown")).otherwise(F.lit("none"))
-    return out.select(*keep, F.array_join(ids, ",").alias("sentence_ids"), verdict.alias("license"))
+    joined = F.concat(F.lit(";"), F.array_join(F.transform(ids, lambda x: F.concat(x, F.lit(";"))), ";"))
+    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("".join(f";{i};" for i in sequence)).alias("wanted")) for name, sequence in ALL_RULES))
+    start = F.struct(joined.alias("rest"), F.array().cast("array<string>").alias("names"))
+
+    def use_up(state: Column, rule: Column) -> Column:
+        used = F.struct(F.replace(state["rest"], rule["wanted"], F.lit("#")).alias("rest"), F.concat(state["names"], F.array(rule["name"])).alias("names"))
+        return F.when(F.contains(state["rest"], rule["wanted"]), used).otherwise(state)
+
+    licences = F.array_join(F.array_distinct(F.aggregate(rules, start, use_up)["names"]), ",")
+    verdict = F.when(F.size(ids) == 0, F.lit("none")).when(licences != "", licences).otherwise(F.lit("unknown"))
+    return found.select(*keep, F.array_join(ids, ",").alias("sentence_ids"), verdict.alias("license"))
