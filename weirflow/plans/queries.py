@@ -17,11 +17,13 @@ from ..operators import Accumulate, AddColumn, Collect, Custom, Filter, FlatMap,
 from ..schema import create_schema
 from ..shipping import shared_root
 from ..sources import DSV, JSONL, custom_source, file_source, memory_source, table_source
-from ..streaming import generator_source, run_stream, stream_pipeline
+from ..streaming import BATCH, generator_source, run_stream, stream_pipeline
 from ..types import Float64, Int32, Int64, String, VarString, custom
 from . import Pipeline, RunOptions
 
 STREAM_BATCH = 1000
+#: Batches of a stream that Spark takes at once; each is reduced on its own.
+STREAM_AT_ONCE = 250
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Pipeline:
@@ -261,7 +263,7 @@ def custom_operation(spark, sf_dir):
 
 
 def stream_reduce(spark, sf_dir):
-    """Event ids from four generators, reduced within each micro-batch."""
+    """Event ids from four generators, reduced within each batch."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     count, size = events.count(), STREAM_BATCH // 4
 
@@ -272,12 +274,12 @@ def stream_reduce(spark, sf_dir):
 
         return record
 
-    lines = generator_source(spark, [generator(g) for g in range(4)], size, limit=-(-count // STREAM_BATCH))
+    lines = generator_source(spark, [generator(g) for g in range(4)], size, limit=-(-count // STREAM_BATCH), at_once=STREAM_AT_ONCE)
     p = stream_pipeline(lines, JSONL(), create_schema(event_id=Int64))
     p = p.to(Filter(F.col("event_id").isNotNull()), AddColumn("n", Int64), AddColumn("least", Int64), AddColumn("most", Int64))
     p = p.to(Map({"n": F.lit(1), "least": F.col("event_id"), "most": F.col("event_id")}), RemoveColumn("event_id"), Reduce(F.lit(1), {"n": F.sum("n"), "least": F.min("least"), "most": F.max("most")}))
     path = _scratch(spark, "stream")
-    run_stream(p, lambda df, number: df.coalesce(1).write.mode("append").parquet(path), available=True)
+    run_stream(p, lambda df, number: df.drop(BATCH).coalesce(1).write.mode("append").parquet(path), available=True)
     return spark.read.parquet(path)
 
 

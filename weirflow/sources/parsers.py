@@ -179,14 +179,14 @@ class JSONL:
             raise SchemaError(f"column {name}: {n} can't be read from JSON lines")
         return _nil(F.when(there, out), kind, self.nil_as_zero)
 
-    def parse(self, lines: DataFrame, schema: Schema, column: str = "value") -> DataFrame:
-        """Lines of text to typed columns."""
+    def parse(self, lines: DataFrame, schema: Schema, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+        """Lines of text to typed columns; columns to keep stand behind them."""
         line = F.regexp_replace(col(column), "\r$", "")
         if self.comment:
             lines = lines.where(~F.coalesce(col(column).startswith(self.comment), F.lit(False)))
         checked = F.when(F.octet_length(line) <= self.max_line, line).otherwise(F.raise_error(F.lit(f"a line is longer than {self.max_line} bytes")).cast("string"))
-        parsed = lines.select(F.try_parse_json(checked).alias("_value"))
-        return parsed.select(*(self.convert(n, k, F.col("_value")).alias(n, metadata=k.metadata()) for n, k in schema))
+        parsed = lines.select(F.try_parse_json(checked).alias("_value"), *map(col, keep))
+        return parsed.select(*(self.convert(n, k, F.col("_value")).alias(n, metadata=k.metadata()) for n, k in schema), *map(col, keep))
 
     def read_files(self, spark: SparkSession, paths: Sequence[str] | str, schema: Schema) -> DataFrame:
         return self.parse(file_lines(spark, paths, self.header_lines), schema)
