@@ -161,3 +161,13 @@ def test_stream_reduce_starts_seldom(spark, monkeypatch, at_once, sizes):
     got = queries.stream_reduce(spark, DIR)
     assert seen == sizes
     assert sorted(map(tuple, got.select("n", "least", "most").collect())) == [(1000, 1000 * b, 1000 * b + 999) for b in range(10)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+@pytest.mark.parametrize(("at_once", "sizes"), [(None, [2, 8]), (3, [2, 3, 3, 2])])
+def test_stream_restart_starts_seldom(spark, monkeypatch, at_once, sizes):
+    seen = starts(monkeypatch, at_once)
+    got = queries.stream_restart(spark, DIR)
+    assert got.columns == ["event_id"]
+    assert seen == [1000 * n for n in sizes]
+    assert sorted(r.event_id for r in got.collect()) == list(range(10_000))

@@ -473,9 +473,9 @@ def stream_restart(spark, sf_dir):
     checkpoint, path = _scratch(spark, "stopped"), _scratch(spark, "restarted")
     record = lambda g: lambda k: f'{{"event_id": {4 * k + g}}}' if 4 * k + g < count else "{}"
     for batches in (2, -(-count // STREAM_BATCH)):
-        lines = generator_source(spark, [record(g) for g in range(4)], size, limit=batches, checkpoint=checkpoint)
+        lines = generator_source(spark, [record(g) for g in range(4)], size, limit=batches, checkpoint=checkpoint, at_once=STREAM_AT_ONCE)
         p = stream_pipeline(lines, JSONL(), create_schema(event_id=Int64)).to(Filter(F.col("event_id").isNotNull()))
-        run_stream(p, lambda df, number: df.write.mode("append").parquet(path), available=True, checkpoint=checkpoint)
+        run_stream(p, lambda df, number: df.drop(BATCH).write.mode("append").parquet(path), available=True, checkpoint=checkpoint)
     return spark.read.parquet(path)
 
 
